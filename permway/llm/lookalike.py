@@ -117,10 +117,55 @@ class Transducer:
 transduce = Transducer()
 
 
+def _natives() -> dict[str, dict[str, str]]:
+    """By script: each Latin letter's look-alike in it, the first one listed."""
+    out: dict[str, dict[str, str]] = {"CYRILLIC": {}, "GREEK": {}, "ARMENIAN": {}}
+    for letter, alike in LOOKALIKES.items():
+        for c in alike:
+            script = unicodedata.name(c).split()[0]
+            if script in out:
+                out[script].setdefault(letter, c)
+    return out
+
+
+_NATIVE = _natives()
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_FOREIGN = {script: regex.compile(rf"\p{{{script.title()}}}") for script in _NATIVE}
+
+
+def readable_form(text: str) -> str:
+    """The one form, with words of other scripts wholly in their script.
+
+    After the transducer a word of another script mixes its own letters with
+    Latin ones. If it has a letter that only that script has, its look-alikes
+    are written in that script; a word without any such letter follows if such
+    words are most of the text's words. The choice depends on the transduced
+    text alone, so texts that look the same still come out equal.
+    """
+    form = transduce(text)
+    if form.isascii() or not any(p.search(form) for p in _FOREIGN.values()):
+        return form
+    words = [m[0] for m in _LETTERS.finditer(unicodedata.normalize("NFD", form))]
+    owner = lambda w: next((s for s, p in _FOREIGN.items() if p.search(w)), None)
+    owners = [owner(w) for w in words]
+    main = max(_NATIVE, key=owners.count)
+    latin = sum(o is None and any(c.isalpha() and c not in _NATIVE[main] for c in w) for w, o in zip(words, owners, strict=True))
+    common = main if owners.count(main) > latin else None
+
+    def write(m: regex.Match) -> str:
+        word = m[0]
+        script = owner(word)
+        if script is None and common and all(c in _NATIVE[common] or unicodedata.combining(c) for c in word):
+            script = common
+        return "".join(_NATIVE[script].get(c, c) for c in word) if script else word
+
+    return unicodedata.normalize("NFC", _LETTERS.sub(write, unicodedata.normalize("NFD", form)))
+
+
 @F.pandas_udf(T.StringType())
 def one_form(text: pd.Series) -> pd.Series:
     """The text in its one form; null stays null."""
-    return text.map(transduce, na_action="ignore")
+    return text.map(readable_form, na_action="ignore")
 
 
 def _halves(text: str) -> tuple[int, int]:
