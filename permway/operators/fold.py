@@ -112,10 +112,10 @@ def fold(resolved: DataFrame) -> DataFrame:
     causes = F.array_sort(F.collect_list(F.when(F.col("cause").isNotNull(), F.struct("place", "cause"))))
     out = by_category.groupBy(*KEY).agg(
         F.sum("n").alias("n_updates"), F.sum("sightings").alias("sightings"), F.max("last_seen").alias("last_seen"), F.min("first").alias("first"), F.max_by("latest", "last").alias("latest"),
-        F.max("minutes").alias("minutes"), F.bool_and("capacity").alias("is_capacity"), causes.alias("found"),
+        F.max("last").alias("last"), F.max("minutes").alias("minutes"), F.bool_and("capacity").alias("is_capacity"), causes.alias("found"),
     )
     return out.select(
-        *KEY, route_label(F.col("route_from"), F.col("route_to")).alias("route"), "latest.head", "latest.text", F.col("first.seen_at").alias("first_seen"), "last_seen", "sightings", "n_updates",
+        *KEY, route_label(F.col("route_from"), F.col("route_to")).alias("route"), "latest.head", "latest.text", F.col("first.seen_at").alias("first_seen"), "last_seen", F.col("last.seen_at").alias("last_update"), "sightings", "n_updates",
         "minutes", "is_capacity", F.col("first.seq").alias("first_seq"), F.transform("found", lambda x: x["cause"].dropFields("at")).alias("causes"),
     )
 

@@ -17,6 +17,8 @@ from permway.functions.instants import instant
 from permway.operators.chain import with_neighbours
 
 PRESENCE = ""
+#: Snapshots that a worker parses at a time.
+CHUNK = 256
 _ITEMS = "run_id bigint, feed string, utc_us bigint, items array<struct<ref: string, cells: array<struct<field: string, h1: bigint, h2: bigint>>>>"
 
 
@@ -54,14 +56,15 @@ def snapshots(poll_runs: DataFrame, with_items: bool) -> DataFrame:
     good = good.select("run_id", "feed", instant(F.col("fetched_at_utc"), "UTC")["utc_us"].alias("utc_us"), "body").where("utc_us IS NOT NULL")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if with_items:
-                items = [cells_of(b) for b in pdf.pop("body")]
-            else:
-                items = [[] if isinstance(strictjson.loads(b), list) else None for b in pdf.pop("body")]
-            keep = [i is not None for i in items]
-            pdf = pdf[keep]
-            yield pdf.assign(items=[[{"ref": r, "cells": [{"field": f, "h1": a, "h2": b} for f, a, b in c]} for r, c in i] for i in items if i is not None])
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):  # the parsed items of a whole batch of large bodies would be too much at once
+                pdf = batch.iloc[at : at + CHUNK]
+                if with_items:
+                    items = [cells_of(b) for b in pdf["body"]]
+                else:
+                    items = [[] if isinstance(strictjson.loads(b), list) else None for b in pdf["body"]]
+                pdf = pdf.drop(columns="body")[[i is not None for i in items]]
+                yield pdf.assign(items=[[(r, c) for r, c in i] for i in items if i is not None])
 
     return good.mapInPandas(read, _ITEMS)
 

@@ -1,0 +1 @@
+"""Incremental folding of a growing log."""
