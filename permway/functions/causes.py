@@ -41,26 +41,28 @@ def keep_first(causes: Column) -> Column:
 
 def causes_in(clause: Column, marker: Column, role: Column) -> Column:
     """Every category that the clause names, in the order of their places, then of their names."""
-    earlier = clause.rlike(L.java(L.EARLIER))
-    found = [
-        F.struct(
-            F.regexp_instr(clause, F.lit(L.java(p))).alias("at"), F.lit(c).alias("category"), F.lit(f).alias("family"), F.lit(label).alias("label"),
-            clause.alias("phrase"), F.regexp_substr(clause, F.lit(L.java(p))).alias("matched"), marker.alias("marker"), role.alias("role"), earlier.alias("earlier"),
-        )
+    hits = [
+        F.struct(F.lit(c).alias("category"), F.lit(f).alias("family"), F.lit(label).alias("label"), F.regexp_substr(clause, F.lit(L.java(p))).alias("matched"))
         for c, f, label, p in L.CATEGORIES
-    ]
-    return suppress(F.array_sort(F.filter(F.array(*found), lambda x: x["matched"].isNotNull())))
+    ]
+    # A match is the first place of its own text, so a plain search finds where it is.
+    full = lambda x: F.struct(
+        F.call_function("locate", x["matched"], clause).alias("at"),
+        x["category"].alias("category"), x["family"].alias("family"), x["label"].alias("label"), clause.alias("phrase"), x["matched"].alias("matched"),
+        marker.alias("marker"), role.alias("role"), clause.rlike(L.java(L.EARLIER)).alias("earlier"),
+    )
+    return suppress(F.array_sort(F.transform(F.filter(F.array(*hits), lambda x: x["matched"].isNotNull()), full)))
 
 
 def segments(sentence: Column) -> Column:
     """(marker, clause) of each cause clause: from its marker to the next, cut where it says something else."""
     marks = F.regexp_extract_all(sentence, F.lit(L.java(L.MARKER)), F.lit(1))
     parts = F.split(sentence, L.java(L.MARKER), -1)
-    zipped = F.zip_with(
-        marks, F.slice(parts, F.lit(2), F.greatest(F.size(marks), F.lit(0))),
-        lambda m, p: F.struct(F.lower(m).alias("marker"), F.btrim(F.split(p, L.java(L.TAIL), 2)[0], F.lit(" ,.-")).alias("clause")),
-    )
-    return F.filter(zipped, lambda x: x["clause"] != "")
+    cut = lambda p: F.btrim(F.split(p, L.java(L.TAIL), 2)[0], F.lit(" ,.-"))
+    zipped = bind(marks, lambda ms: F.zip_with(ms, F.slice(parts, F.lit(2), F.size(ms)), lambda m, p: F.struct(F.lower(m).alias("marker"), cut(p).alias("clause"))))
+    kept = F.filter(zipped, lambda x: x["clause"] != "")
+    # Most sentences have no marker; a search without word boundaries tells so at less cost.
+    return F.when(sentence.rlike(L.java(L.MARKER.replace(r"\b", ""))), kept).otherwise(F.array().cast("array<struct<marker: string, clause: string>>"))
 
 
 def _marked(sents: Column) -> Column:

@@ -52,6 +52,7 @@ FAMILY = {c: f for c, f, _, _ in CATEGORIES}
 LABEL = {c: label for c, _, label, _ in CATEGORIES}
 
 
-def java(pattern: str, flags: str = "iUd") -> str:
-    """The pattern with Unicode classes and folding, and `.` stopped by a line feed only."""
-    return f"(?{flags}){pattern}"
+def java(pattern: str) -> str:
+    """The pattern without case, with Unicode's classes where it has any, and `.` stopped by a line feed only."""
+    classes = any(c in pattern for c in (r"\w", r"\b", r"\d", r"\s"))
+    return ("(?iUd)" if classes else "(?iud)") + pattern

@@ -46,7 +46,7 @@ def wording_routes(seen: DataFrame) -> DataFrame:
 
 
 def resolve(seen: DataFrame) -> DataFrame:
-    """`seen` with `route_from`, `route_to` and `branch`, the rule that gave them.
+    """The sightings with `route_from`, `route_to` and `branch`, the rule that gave them; other columns are left out.
 
     In turn: a start that ever had several legs is one network event; the
     sighting's own route; the only route that its start carries; the latest
@@ -54,7 +54,7 @@ def resolve(seen: DataFrame) -> DataFrame:
     left out, empty origins and destinations count as null, a null start is a
     start of its own. Needs `seq`, unique and in order of arrival.
     """
-    seen = seen.where("seen_at IS NOT NULL").withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("origin", "destination")})
+    seen = seen.where("seen_at IS NOT NULL").select("seq", "head", "text", "start", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("origin", "destination")], "seen_at", "legs")
     rows = salted_join(seen, start_facts(seen), ["start"], "seq")
     rows = salted_join(rows, wording_routes(seen), ["start", "head", "text"], "seq")
     several = F.struct(F.lit(L.SEVERAL).alias("origin"), F.lit(None).cast("string").alias("destination"))

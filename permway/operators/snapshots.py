@@ -16,7 +16,8 @@ from permway.functions import strictjson
 from permway.functions.instants import instant
 from permway.operators.chain import with_neighbours
 
-PRESENCE = ""
+#: The field of a presence marker; no JSON key is null.
+PRESENCE = None
 #: Snapshots that a worker parses at a time.
 CHUNK = 256
 _ITEMS = "run_id bigint, feed string, utc_us bigint, items array<struct<ref: string, cells: array<struct<field: string, h1: bigint, h2: bigint>>>>"
@@ -97,8 +98,8 @@ def changes(poll_runs: DataFrame) -> DataFrame:
     feed of its own.
     """
     cells = changed_cells(poll_runs)
-    marker = F.max(F.when(F.col("field") == PRESENCE, F.col("n")))
-    fields = F.array_sort(F.collect_set(F.when(F.col("field") != PRESENCE, F.col("field"))))
+    marker = F.max(F.when(F.col("field").isNull(), F.col("n")))
+    fields = F.array_sort(F.collect_set("field"))
     found = cells.groupBy("run_id", "item_ref").agg(marker.alias("present"), fields.alias("fields"))
     delta = F.when(F.col("present") > 0, "added").when(F.col("present") < 0, "removed").otherwise("changed")
     return found.select("run_id", "item_ref", delta.alias("delta"), F.when(F.col("present").isNull(), F.col("fields")).alias("fields"))

@@ -138,7 +138,7 @@ def routes_by_start(spark, d):
 
 
 def resolve_route(spark, d):
-    return fold.resolve(_sightings(spark, d)).select("sighting_id", "route_from", "route_to", "branch")
+    return fold.resolve(_sightings(spark, d)).select(F.col("seq").alias("sighting_id"), "route_from", "route_to", "branch")
 
 
 def updates_log(spark, d):

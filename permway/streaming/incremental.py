@@ -14,7 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 from permway.operators import fold, ingest
 
 BUCKETS = 64
-_BUCKET = F.pmod(F.xxhash64(F.coalesce("start", F.lit("\u0000"))), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _bucket():
+    return F.pmod(F.xxhash64(F.coalesce("start", F.lit("\u0000"))), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 def update(sightings_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
@@ -27,14 +30,14 @@ def update(sightings_path: str, out_path: str) -> Callable[[DataFrame, int], Non
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = ingest.ours(batch).withColumn("batch", F.lit(batch_id)).select("*", _BUCKET)
+        rows = ingest.ours(batch).withColumn("batch", F.lit(batch_id)).select("*", _bucket())
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(sightings_path)
         everything = spark.read.parquet(sightings_path)
         touched = [r.bucket for r in everything.where(F.col("batch") == batch_id).select("bucket").distinct().collect()]  # at most BUCKETS values
         if not touched:
             return
         seen = everything.where(F.col("bucket").isin(touched)).drop("batch", "bucket")
-        folded = fold.disruptions(seen).select("*", _BUCKET)
+        folded = fold.disruptions(seen).select("*", _bucket())
         folded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out_path)
 
     return run
