@@ -30,7 +30,7 @@ PLACEHOLDERS = [
 EMPTY_VALUES = [
     r"\[object object\]", r"(?<![a-z])undefined(?![a-z])", r"\+\s*(?:null|none|nan)(?:mins|\b)", r"\b(?:from|to|at|by|between|owing to|due to|cause:) (?:null|nan)\b",
     r"\b(?:null|nan) (?:to|mins?|minutes?|service|train|delayed|late)\b", r"\bby none\b|\bnone (?:mins?|minutes?)\b|\b(?:from|at) none (?:to|is)\b|^none to\b",
-    r"\+\s*(?:mins?\b|delayed\b)", r"^(?:[a-z]+ ?: ?[^:;]*; ?)*[a-z]+ ?: ?;", r"\(\s*\)|\[\s*\]",
+    r"\+\s*(?:mins?\b|delayed\b)", r"(?:^|[;,] )(?:from|to|due|delay|cause|platform|route|time|reason|stop) ?: ?(?:[;,]|$)", r"\(\s*\)|\[\s*\]",
 ]
 # Filler, as the words of a whole field.
 FILLER = [
