@@ -34,7 +34,7 @@ def plain(text: Column) -> Column:
     t = F.regexp_replace(t, L.java(L.BLOCK), ". ")
     t = F.regexp_replace(t, L.TAG, " ")
     t = squeeze(t)
-    return F.regexp_replace(t, r"(?U)\s*\.(\s*\.)+", ".")
+    return F.regexp_replace(t, r"(?U)\s*\.[\s.]*\.", ".")
 
 
 def readable(text: Column) -> Column:

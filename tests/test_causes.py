@@ -30,6 +30,12 @@ def test_readings(spark):
         assert got[i] == (causes, unread), NOTICES[i]
 
 
+def test_very_long_notice(spark):
+    text = "Late due to a signalling issue, the 10:00 waits - " * 5_000
+    row = with_reading(spark.createDataFrame([("h", text, 1)], "head string, text string, causes int")).first()
+    assert [c.category for c in row.causes] == ["signalling"] and not row.unread
+
+
 def test_earlier_and_marker(spark):
     df = with_reading(spark.createDataFrame([("", "Late BECAUSE OF an earlier service delay.")], "head string, text string"))
     (c,) = df.first().causes
@@ -43,6 +49,7 @@ def test_earlier_and_marker(spark):
         ("x .. . y", "x. y"),
         ("&#38;lt;b&gt;bold", "bold"),
         (None, ""),
+        (". " * 100_000 + "x", ". x"),
     ],
 )
 def test_plain(spark, raw, clean):
