@@ -69,7 +69,7 @@ def message(text: Column) -> Column:
     for _ in range(2):  # feeds encode twice
         for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
             t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, r"https?://\S+|[\w.+-]+@[\w-]+\.[\w.]+", "url")
+    t = F.regexp_replace(t, r"https?://\S+|(?<![\w.+-])[\w.+-]+@[\w-]+\.[\w.]+", "url")
     t = F.regexp_replace(t, r"[0-9]{1,4}(?:[-/.][0-9]{1,2}){2}\b", "date")
     t = F.regexp_replace(t, r"\b[0-9]{2}[-/. –—‑][0-9]{7}\b", "9-9")
     t = F.regexp_replace(t, r"(?<!<h)(?<!</h)[0-9]+", "9")
