@@ -69,7 +69,8 @@ def readable_text(spark, d):
 
 def _sentences(spark, d):
     clean = table(spark, d, "notices").withColumn("clean", textops.readable(F.col("text")))
-    return clean.select("notice_id", F.posexplode(textops.split_sentences(F.col("clean"))).alias("pos", "sentence"))
+    rows = clean.select("notice_id", F.posexplode_outer(textops.split_sentences(F.col("clean"))).alias("pos", "sentence"))
+    return rows.where("pos IS NOT NULL")
 
 
 def sentence_split(spark, d):
@@ -77,7 +78,7 @@ def sentence_split(spark, d):
 
 
 def marker_segments(spark, d):
-    rows = _sentences(spark, d).select("notice_id", "pos", F.posexplode(segments(F.col("sentence"))).alias("seg", "s"))
+    rows = _sentences(spark, d).select("notice_id", "pos", F.posexplode_outer(segments(F.col("sentence"))).alias("seg", "s")).where("seg IS NOT NULL")
     return rows.select("notice_id", "pos", "seg", "s.marker", "s.clause")
 
 
@@ -87,7 +88,7 @@ def clause_cut(spark, d):
 
 
 def cause_read(spark, d):
-    rows = _read(spark, d).select("notice_id", F.posexplode("causes").alias("pos", "c"))
+    rows = _read(spark, d).select("notice_id", F.posexplode_outer("causes").alias("pos", "c")).where("pos IS NOT NULL")
     return rows.select("notice_id", "pos", "c.category", "c.family", "c.label", "c.phrase", "c.matched", "c.marker", "c.role", "c.earlier")
 
 
