@@ -104,6 +104,11 @@ def _items(source: str) -> str:
     items AS (SELECT *, {field("head")}, {field("text")}, {field("start")}, {stop("sStop")} AS origin, {stop("eStop")} AS destination, {legs}, {codes} FROM raw WHERE json_type(e) = 'OBJECT')"""
 
 
+def _listed(record: str, field: str) -> str:
+    """The elements of a field as a list of JSON values: none for null, a single value as one."""
+    return f"CASE json_type({record}, '$.{field}') WHEN 'ARRAY' THEN json_extract({record}, '$.{field}[*]') WHEN 'NULL' THEN [] ELSE list_filter([json_extract({record}, '$.{field}')], lambda v: v IS NOT NULL) END"
+
+
 _FOLD = f"""
     seen AS MATERIALIZED (SELECT sighting_id, sighting_id AS seq, head, text, start, nullif(origin, '') AS origin, nullif(destination, '') AS destination, seen_at, legs FROM sightings WHERE {_SUBJECT} AND seen_at IS NOT NULL),
     net AS (SELECT start FROM seen GROUP BY start HAVING max(coalesce(legs, 0)) > 1),
@@ -189,4 +194,16 @@ ORACLE = {
     "golden_diff": _golden("SELECT head, text, true AS causes_moved, false AS unread_moved FROM cur JOIN stored USING (head, text) WHERE causes <> before"),
     "golden_new": _golden("SELECT head, text FROM cur ANTI JOIN stored USING (head, text)"),
     "golden_merge": _golden("SELECT head, text, coalesce(causes, '') AS causes FROM cur"),
+    "p6_found": f"""WITH polls AS (SELECT run_id, body FROM poll_runs WHERE {_STRICT}),
+        els AS (SELECT run_id, body, unnest(range(json_array_length(body)::BIGINT))::INT AS item_pos FROM polls),
+        items AS (SELECT run_id, item_pos, json_extract(body, '$[' || item_pos || ']') AS e FROM els WHERE json_type(body, '$[' || item_pos || ']') = 'OBJECT'),
+        codes AS (SELECT run_id, item_pos, {_listed("e", "locationCodes")} AS l FROM items),
+        code AS (SELECT run_id, item_pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM codes),
+        stops AS (SELECT run_id, item_pos, {_listed("e", "eventStops")} AS l FROM items),
+        leg AS (SELECT * FROM (SELECT run_id, item_pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM stops) WHERE json_type(x) = 'OBJECT'),
+        vias AS (SELECT run_id, item_pos, pos, {_listed("x", "via")} AS l FROM leg),
+        via AS (SELECT * FROM (SELECT run_id, item_pos, pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS sub_pos FROM vias) WHERE json_type(x) = 'OBJECT')
+        SELECT run_id, item_pos, 'code' AS kind, pos::INT AS pos, -1 AS sub_pos, json_extract_string(x, '$') AS label FROM code WHERE json_type(x) = 'VARCHAR'
+        UNION ALL SELECT run_id, item_pos, 'leg', pos::INT, -1, coalesce(json_extract_string(x, '$.sStop'), '') FROM leg
+        UNION ALL SELECT run_id, item_pos, 'via', pos::INT, sub_pos::INT, coalesce(json_extract_string(x, '$.stop'), '') FROM via""",
 }
