@@ -109,6 +109,29 @@ def _listed(record: str, field: str) -> str:
     return f"CASE json_type({record}, '$.{field}') WHEN 'ARRAY' THEN json_extract({record}, '$.{field}[*]') WHEN 'NULL' THEN [] ELSE list_filter([json_extract({record}, '$.{field}')], lambda v: v IS NOT NULL) END"
 
 
+_FORMATS = [
+    "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y/%m/%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%d.%m.%Y %H.%M", "%d %b %Y %H:%M", "%d %B %Y, %I:%M %p",
+    "%a, %d %b %Y %H:%M:%S", "%Y%m%dT%H%M%S", "%Y%m%d%H%M%S",
+]
+
+
+def _instants(name: str, source: str, text: str, local: bool) -> str:
+    """Common tables up to `name`: `source` with `us`, the UTC microseconds of `text`, and `odd`, whether its local time is shown twice or never."""
+    last_sunday = lambda month: f"(last_day(make_date(year(l), {month}, 1)) - dayofweek(last_day(make_date(year(l), {month}, 1)))::INT)::TIMESTAMP"
+    spring, autumn = last_sunday(3), last_sunday(10)
+    summer = f"CASE WHEN l >= {spring} + INTERVAL 2 HOUR AND l < {autumn} + INTERVAL 2 HOUR THEN 60 ELSE 0 END"
+    digits = "regexp_replace(z, '[^0-9]', '', 'g')"
+    written = f"(CASE WHEN z LIKE '-%' THEN -1 ELSE 1 END) * (left({digits}, 2)::INT * 60 + coalesce(nullif(substr({digits}, 3), ''), '0')::INT)"
+    within = lambda day: f"(l >= {day} + INTERVAL 1 HOUR AND l < {day} + INTERVAL 2 HOUR)"
+    formats = ", ".join(map(_q, _FORMATS))
+    return f"""{name}0 AS (SELECT *, regexp_extract({text}, '(Z|UTC|GMT|IST|Europe/Dublin|[+-]\\d{{1,2}}(:?\\d{{2}})?)(\\[[A-Za-z/]+\\])?$', 1) AS z,
+        trim(regexp_replace({text}, '(Z|UTC|GMT|IST|Europe/Dublin|[+-]\\d{{1,2}}(:?\\d{{2}})?)(\\[[A-Za-z/]+\\])?$', '')) AS b FROM {source}),
+    {name}1 AS (SELECT *, regexp_extract(b, ':\\d{{1,2}}[.](\\d+)$', 1) AS fr, try_strptime(regexp_replace(b, '(:\\d{{1,2}})[.]\\d+$', '\\1'), [{formats}]) AS l FROM {name}0),
+    {name} AS (SELECT *, CASE WHEN regexp_full_match({text}, '\\d{{10}}') THEN {text}::BIGINT * 1000000 WHEN regexp_full_match({text}, '\\d{{13}}') THEN {text}::BIGINT * 1000
+        ELSE epoch_us(l) - 60000000::BIGINT * (CASE WHEN regexp_matches(z, '^[+-]') THEN {written} WHEN z = 'IST' THEN 60 WHEN z IN ('Z', 'UTC', 'GMT') THEN 0 WHEN z = 'Europe/Dublin' OR {local} THEN {summer} ELSE 0 END)
+            + left(rpad(fr, 6, '0'), 6)::BIGINT END AS us, {within(spring)} OR {within(autumn)} AS odd FROM {name}1)"""
+
+
 _FOLD = f"""
     seen AS MATERIALIZED (SELECT sighting_id, sighting_id AS seq, head, text, start, nullif(origin, '') AS origin, nullif(destination, '') AS destination, seen_at, legs FROM sightings WHERE {_SUBJECT} AND seen_at IS NOT NULL),
     net AS (SELECT start FROM seen GROUP BY start HAVING max(coalesce(legs, 0)) > 1),
@@ -206,4 +229,7 @@ ORACLE = {
         SELECT run_id, item_pos, 'code' AS kind, pos::INT AS pos, -1 AS sub_pos, json_extract_string(x, '$') AS label FROM code WHERE json_type(x) = 'VARCHAR'
         UNION ALL SELECT run_id, item_pos, 'leg', pos::INT, -1, coalesce(json_extract_string(x, '$.sStop'), '') FROM leg
         UNION ALL SELECT run_id, item_pos, 'via', pos::INT, sub_pos::INT, coalesce(json_extract_string(x, '$.stop'), '') FROM via""",
+    "p1_found": f"""WITH {_instants("s", "sightings", "start", True)}, {_instants("r", "poll_runs", "fetched_at_utc", False)}
+        SELECT 'sightings' AS table_name, sighting_id AS row_id, us AS utc_us FROM s WHERE us IS NOT NULL AND (NOT regexp_full_match(start, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') OR odd)
+        UNION ALL SELECT 'poll_runs', run_id, us FROM r WHERE us IS NOT NULL AND NOT regexp_full_match(fetched_at_utc, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')""",
 }
