@@ -232,4 +232,13 @@ ORACLE = {
     "p1_found": f"""WITH {_instants("s", "sightings", "start", True)}, {_instants("r", "poll_runs", "fetched_at_utc", False)}
         SELECT 'sightings' AS table_name, sighting_id AS row_id, us AS utc_us FROM s WHERE us IS NOT NULL AND (NOT regexp_full_match(start, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') OR odd)
         UNION ALL SELECT 'poll_runs', run_id, us FROM r WHERE us IS NOT NULL AND NOT regexp_full_match(fetched_at_utc, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')""",
+    "p5_found": f"""WITH good5 AS (SELECT * FROM poll_runs WHERE http_status = 200 AND network_error IS NULL AND {_STRICT}), {_instants("t", "good5", "fetched_at_utc", False)},
+        snaps AS (SELECT run_id, feed, body, row_number() OVER (PARTITION BY feed ORDER BY us, run_id) AS n FROM t WHERE us IS NOT NULL),
+        els AS (SELECT run_id, feed, n, unnest(json_extract(body, '$[*]')) AS e, generate_subscripts(json_extract(body, '$[*]'), 1) AS pos FROM snaps),
+        its AS MATERIALIZED (SELECT feed, n, json_extract_string(e, '$.itemRef') AS ref, arg_min(e, pos) AS e FROM els WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.itemRef') NOT IN ('NULL') GROUP BY ALL),
+        forms AS MATERIALIZED (SELECT i.feed, i.n, i.ref, string_agg(j.fullkey || ' ' || j.type || ' ' || coalesce(json_extract_string(j.atom, '$'), ''), chr(1) ORDER BY j.fullkey) AS form FROM its i, json_tree(i.e) j GROUP BY ALL),
+        later AS (SELECT s.run_id, f.* FROM forms f JOIN snaps s ON s.feed IS NOT DISTINCT FROM f.feed AND s.n = f.n WHERE s.n > 1),
+        earlier AS (SELECT s.run_id, f.* FROM forms f JOIN snaps s ON s.feed IS NOT DISTINCT FROM f.feed AND s.n = f.n + 1)
+        SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.ref, b.ref) AS item_ref, CASE WHEN b.ref IS NULL THEN 'added' WHEN a.ref IS NULL THEN 'removed' ELSE 'changed' END AS delta
+        FROM later a FULL JOIN earlier b ON a.run_id = b.run_id AND a.ref = b.ref WHERE a.form IS DISTINCT FROM b.form""",
 }
