@@ -132,6 +132,20 @@ def _instants(name: str, source: str, text: str, local: bool) -> str:
             + left(rpad(fr, 6, '0'), 6)::BIGINT END AS us, {within(spring)} OR {within(autumn)} AS odd FROM {name}1)"""
 
 
+def _strict_array(x: str) -> str:
+    """Whether a text is strict JSON for an array; the reader's leniencies are looked for outside of strings."""
+    bare = f"""regexp_replace({x}, '"(\\\\.|[^"\\\\])*"', 's', 'g')"""
+    return f"(CASE WHEN {x} IS NOT NULL AND json_valid({x}) THEN json_type({x}) = 'ARRAY' AND NOT regexp_matches({bare}, ',\\s*[\\]}}]|NaN|Infinity|nan|inf') ELSE false END)"
+
+
+_CELL = '("(?:[^"]|"")*"|[^",\\r\\n]*)'
+_RECORD = ",".join([_CELL] * 4)
+
+
+def _cell(x: str) -> str:
+    return f"""CASE WHEN {x} LIKE '"%' THEN replace(substr({x}, 2, length({x}) - 2), '""', '"') ELSE {x} END"""
+
+
 _FOLD = f"""
     seen AS MATERIALIZED (SELECT sighting_id, sighting_id AS seq, head, text, start, nullif(origin, '') AS origin, nullif(destination, '') AS destination, seen_at, legs FROM sightings WHERE {_SUBJECT} AND seen_at IS NOT NULL),
     net AS (SELECT start FROM seen GROUP BY start HAVING max(coalesce(legs, 0)) > 1),
@@ -241,4 +255,18 @@ ORACLE = {
         earlier AS (SELECT s.run_id, f.* FROM forms f JOIN snaps s ON s.feed IS NOT DISTINCT FROM f.feed AND s.n = f.n + 1)
         SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.ref, b.ref) AS item_ref, CASE WHEN b.ref IS NULL THEN 'added' WHEN a.ref IS NULL THEN 'removed' ELSE 'changed' END AS delta
         FROM later a FULL JOIN earlier b ON a.run_id = b.run_id AND a.ref = b.ref WHERE a.form IS DISTINCT FROM b.form""",
+    "p2_found": f"""WITH j0 AS (SELECT line_id, line, CASE WHEN line IS NOT NULL AND json_valid(line) THEN json_type(line) = 'OBJECT' AND NOT regexp_matches(regexp_replace(line, '"(\\\\.|[^"\\\\])*"', 's', 'g'), ',\\s*[\\]}}]|NaN|Infinity|nan|inf')
+            AND json_exists(line, '$.http_status') AND json_exists(line, '$.network_error') AND json_exists(line, '$.fetched_at_utc') AND json_exists(line, '$.body') ELSE false END AS fine FROM raw_lines WHERE file_name LIKE '%.jsonl'),
+        j AS (SELECT line_id, json_type(line, '$.http_status') AS ht, json_extract_string(line, '$.http_status') AS h, json_type(line, '$.network_error') AS nt, json_extract_string(line, '$.network_error') AS n,
+            json_type(line, '$.body') AS bt, json_extract_string(line, '$.body') AS b FROM j0 WHERE fine),
+        c0 AS (SELECT line_id, line, coalesce(regexp_full_match(line, '{_RECORD}'), false) AS fine FROM raw_lines WHERE file_name LIKE '%.csv'),
+        c1 AS (SELECT line_id, regexp_extract(line, '^{_RECORD}$', ['f', 'h', 'n', 'b']) AS x FROM c0 WHERE fine),
+        c AS (SELECT line_id, {_cell("x.h")} AS h, {_cell("x.n")} AS n, {_cell("x.b")} AS b FROM c1),
+        faults AS (SELECT line_id, 'line' AS fault FROM j0 WHERE NOT fine UNION ALL SELECT line_id, 'line' FROM c0 WHERE NOT fine
+        UNION ALL SELECT line_id, CASE WHEN NOT (ht = 'NULL' OR (ht IN ('UBIGINT', 'BIGINT') AND regexp_full_match(h, '[1-5][0-9]{{2}}'))) THEN 'http_status'
+            WHEN NOT (nt = 'NULL' OR (nt = 'BOOLEAN' AND n = 'false') OR (nt = 'VARCHAR' AND regexp_full_match(n, '[A-Za-z_]*'))) THEN 'network_error'
+            WHEN h = '200' AND (nt <> 'VARCHAR' OR n IN ('', 'false')) AND NOT (bt = 'VARCHAR' AND {_strict_array("b")}) THEN 'body' END FROM j
+        UNION ALL SELECT line_id, CASE WHEN h <> '' AND NOT regexp_full_match(h, '[1-5][0-9]{{2}}') THEN 'http_status' WHEN NOT regexp_full_match(n, '[A-Za-z_]*') THEN 'network_error'
+            WHEN h = '200' AND n IN ('', 'false') AND NOT {_strict_array("b")} THEN 'body' END FROM c)
+        SELECT line_id, fault FROM faults WHERE fault IS NOT NULL""",
 }
