@@ -73,10 +73,10 @@ def _words(text: str) -> str:
 
 
 def _canonical(column: str) -> str:
-    lower = f"lower(coalesce({column}, ''))"
+    lower = f"lower(nfc_normalize(coalesce({column}, '')))"
     label = r"(^|[;,/|\n])([^\p{L}\p{N};,/|\n]*)(\p{L}+(?: \p{L}+)?)(\s*:|[\s\x{a0}]+[-–—][\s\x{a0}])"
     first = r"^[^\p{L}\p{N}]*\p{L}+(?: \p{L}+)?(?:\s*:|[\s\x{a0}]+[-–—][\s\x{a0}])"
-    words = lambda x: f"array_to_string(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+'), ' ')"
+    words = lambda x: f"array_to_string(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), ' ')"
     fields = f"string_split(regexp_replace({lower}, '{label}', '\\1' || chr(1) || '\\3\\4', 'g'), chr(1))"
     listed = f"array_to_string(list_sort(list_filter(list_transform({fields}, lambda x: {words('x')}), lambda x: x <> '')), '; ')"
     return f"CASE WHEN regexp_matches({lower}, '{first}') AND len(regexp_extract_all({lower}, '{label}')) >= 2 THEN {listed} ELSE {words(lower)} END"
@@ -84,7 +84,42 @@ def _canonical(column: str) -> str:
 
 _GROUPS = f"WITH k AS (SELECT notice_id, {_canonical('head')} AS h, {_canonical('text')} AS t FROM notices), g AS (SELECT h, t, min(notice_id) AS keep_id, count(*) AS n FROM k GROUP BY h, t) "
 
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _message(column: str) -> str:
+    t = f"lower(coalesce({column}, ''))"
+    for _ in range(2):
+        for entity, char in residue.ENTITIES:
+            t = f"replace({t}, {_q(entity)}, {_q(char)})"
+    t = f"regexp_replace(regexp_replace({t}, {_q(residue.TAG)}, ' ', 'g'), {_q(residue.ADDRESS)}, 'url', 'g')"
+    t = f"translate({t}, {_q('0123456789' + residue.SPACES)}, {_q('9' * 10 + ' ' * len(residue.SPACES))})"
+    t = f"trim(regexp_replace({t}, '  +', ' ', 'g'))"
+    return f"regexp_replace(regexp_replace(regexp_replace({t}, {_q(residue.DATE)}, 'date', 'g'), {_q(residue.LOG)}, '9-9', 'g'), '99+', '9', 'g')"
+
+
+def _residue() -> str:
+    """Common tables up to `known`: each distinct message with its count and kind."""
+    match = lambda x, patterns: f"regexp_matches({x}, {_q(residue.any_of(patterns))})"
+    whole = lambda patterns: f"regexp_full_match(w, {_q(residue.any_of(patterns))})"
+    return f"""WITH raw AS (SELECT notice_id AS id, coalesce(codes[1], '') AS source, unnest([head, text]) AS raw FROM notices),
+        m0 AS (SELECT id, source, trim(coalesce(raw, '')) = '' AS blank, {_message("raw")} AS m FROM raw),
+        m1 AS (SELECT id, source, blank, CASE WHEN contains(m, '9-9') THEN rtrim(regexp_replace(ltrim(m, {_q(residue.EDGE)}), {_q(residue.LEAD)}, ''), {_q(residue.CLOSING)}) ELSE m END AS m FROM m0),
+        f AS MATERIALIZED (SELECT id, source, blank, CASE WHEN m LIKE '%9-9' THEN rtrim(regexp_replace(m, {_q(residue.TAIL)}, ''), {_q(residue.EDGE)}) ELSE m END AS message FROM m1),
+        g AS (SELECT message, count(*) AS n, count(*) >= {residue.MIN_FIELDS} AND count(DISTINCT source) >= 2 AS recurs, trim(regexp_replace(message, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS w FROM f GROUP BY message),
+        c AS MATERIALIZED (SELECT message, n, recurs, CASE WHEN {match("message", residue.PLACEHOLDERS)} THEN 'placeholder' WHEN {match("message", residue.EMPTY_VALUES)} THEN 'empty_value' WHEN w = '' THEN 'no_content'
+            WHEN {whole(residue.ERROR_PAGES)} OR recurs AND {whole(residue.OPEN_ERRORS)} THEN 'error_page' WHEN {whole(residue.SCRIPT_DEMANDS)} OR recurs AND {whole(residue.OPEN_DEMANDS)} THEN 'script_demand'
+            WHEN {whole(residue.FILLER)} OR (w LIKE '% %' AND regexp_matches(w, '[a-z]') AND len(list_distinct(string_split(regexp_replace(w, '( 9)+$', ''), ' '))) = 1) THEN 'filler' END AS kind FROM g),
+        cuts AS (SELECT rtrim(substr(message, 1, k::INT)) AS cut, min(kind) AS cut_kind FROM (SELECT *, unnest(range({residue.CUT_FROM}, least(length(message), {residue.CUT_TO}) + 1)) AS k FROM c
+            WHERE recurs AND kind IN ('error_page', 'script_demand', 'filler')) GROUP BY 1),
+        known AS (SELECT message, n, coalesce(kind, cut_kind) AS kind FROM c LEFT JOIN cuts ON message = cut)"""
+
+
 ORACLE = {
+    "p3_messages": _residue() + " SELECT message, n, kind FROM known WHERE kind IS NOT NULL",
+    "p3_found": _residue() + """ SELECT id AS notice_id FROM f JOIN known USING (message) WHERE kind IS NOT NULL GROUP BY id
+        HAVING count_if(NOT blank OR kind <> 'no_content') > 0 OR count_if(kind = 'no_content') >= 2""",
     "p4_found": _GROUPS + "SELECT keep_id, notice_id AS copy_id FROM k JOIN g USING (h, t) WHERE notice_id <> keep_id",
     "p4_counts": _GROUPS + "SELECT keep_id, n FROM g",
     "p7_found": f"""

@@ -19,6 +19,12 @@ def test_copies(spark):
     assert copies.found(frame(spark).limit(0)).count() == 0
 
 
+def test_characters_are_one(spark):
+    rows = [(1, "caf\u00e9", "x"), (2, "cafe\u0301", "x"), (3, "c\uff41f\u00e9", "x"), (4, "CAFE\u0301", "x"), (5, "cafe", "x"), (6, "stra\u00dfe", "x"), (7, "STRASSE", "x"), (8, "x\u0302y", "x"), (9, "x y", "x")]
+    df = spark.createDataFrame(rows, "notice_id bigint, head string, text string")
+    assert {tuple(r) for r in copies.found(df).collect()} == {(1, 2), (1, 3), (1, 4), (6, 7)}
+
+
 def test_counts(spark):
     counts = {r.keep_id: r.n for r in copies.collapse(frame(spark)).collect()}
     assert counts == {2: 3, 9: 1, 3: 3, 7: 1, 1: 2, 10: 2, 12: 2}

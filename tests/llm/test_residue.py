@@ -15,6 +15,7 @@ REAL = [
     ("h", "Server room works at A: gateway 502 of the car park stays shut."), ("h", "Capacity cut by 50% on the 18:26 [coaches 1 to 7] from A."), ("h", "Revised plan {1 of 9} applies between A and B."),
     ("h", "The journey planner needs JavaScript and is down for some phones. Buy on board."), ("h", "Session tickets expired at 12:58 remain valid to A."), ("h", "The 404 service from A to B runs late."),
     ("h", "Bus stop <b>outside A</b> replaces the train.<br>Next update at 10:00.</p>"), ("h", "Ticket machines at A show error 404 due to flooding."), ("h", "None of the trains to A stop at B."), ("", "Delays at A."), (None, "Delays at A."), ("Delays", ""), ("Delays", None),
+    ("Forbidden area works near Connolly", "x"), ("Access denied to platform 2", "x"), ("Request blocked line at Bray", "x"), ("Connection closed at Mallow", "x"), ("10:30 10:45", "x"), ("+10/20", "x"),
     ("<h1>Delays</h1>", "Held at A."), ("h", " ".join(f"w{i} a: b;" for i in range(50_000))), ("h", "." * 100_000 + " held at A"),
 ]
 
@@ -37,3 +38,22 @@ def test_messages_are_counted_over_their_numbers(spark):
     df = spark.createDataFrame([(i, "Delays", f"502 Bad Gateway Ray 00-000000{i}") for i in range(5)], "notice_id bigint, head string, text string")
     rows = {r.message: (r.n, r.kind) for r in residue.messages(df).collect()}
     assert rows == {"delays": (5, None), "9 bad gateway": (5, "error_page")}
+
+
+def test_open_phrases_count_where_they_recur_over_sources(spark):
+    rows = [(i, "Connection closed at port 7", "x", [f"S{i}"]) for i in range(3)] + [(9 + i, "Access denied to all", "x", ["S1"]) for i in range(5)] + [(20, "Request rejected as of 9:30", "x", None)]
+    df = spark.createDataFrame(rows, "notice_id bigint, head string, text string, codes array<string>")
+    assert {r.notice_id for r in residue.found(df).collect()} == {0, 1, 2}
+
+
+def test_cut_messages_count_where_the_whole_recurs(spark):
+    whole = "An unexpected error occurred while handling your request"
+    rows = [(i, "Delays", whole, [f"S{i}"]) for i in range(4)] + [(10, whole[:27], "x", None), (11, "<p>" + whole[:22], "x", None), (12, whole[:9], "x", None), (13, "Your session has exp", "x", None)]
+    df = spark.createDataFrame(rows, "notice_id bigint, head string, text string, codes array<string>")
+    assert {r.notice_id for r in residue.found(df).collect()} == {0, 1, 2, 3, 10, 11}
+
+
+def test_patterns_run_only_on_distinct_messages(spark):
+    plan = residue.groups(residue.fields(spark.createDataFrame([(1, "a", "b")], "notice_id bigint, head string, text string"), "notice_id", ("head", "text")))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in text and "RLIKE" not in text[text.index("Aggregate") :]
