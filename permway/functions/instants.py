@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from permway.functions.zones import ABBREVIATIONS, US, ZoneTable, zone_table
+from permway.functions.zones import ABBREVIATIONS, US, Zones, unpacked, zones
 
 RESULT = "utc_us bigint, clock tinyint"
 
@@ -32,7 +32,7 @@ _DATE = r"""(?:
 )"""
 _TIME = r"(?P<H>9{1,2})(?P<s3>[:.])(?P<M>9{2}|9(?=[:.]9))(?:(?P=s3)(?P<S>9{1,2})(?:[.,](?P<f>9+))?)?"
 _CLOCK = r"(?:\ ?(?P<p>aa)(?!a))?"
-_ZONE = r"(?:\ ?(?P<o>[-+−]9{1,2}(?::?9{2})?)|\ ?(?P<z>a{1,5}|a+(?:[/_-]a+)+))?(?:\ ?\[(?P<b>[^\]\[]+)\])?"
+_ZONE = r"(?:\ ?(?P<o>[-+−]9{1,2}(?::?9{2})?)|\ ?(?P<z>a+(?:[/_+-][a9]+)*))?(?:\ ?\[(?P<b>[^\]\[]+)\])?"
 _SHAPES = [
     rf"{_DATE}(?:(?P<t>a)|,?\ (?:aa\ )?){_TIME}{_CLOCK}{_ZONE}",
     rf"(?P<Y>9{{4}})(?P<m>99)(?P<d>99)(?P<t>a)(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9+))?)?{_ZONE}",
@@ -54,11 +54,17 @@ def python_mask(text: str) -> str:
     return "".join("a" if c.isalpha() else "9" if c in "0123456789" else c for c in text)
 
 
-@lru_cache(maxsize=4096)
+#: Masks up to this length are remembered; longer ones are as well read, but each time anew.
+REMEMBERED = 120
+
+
 def parser(shape: str):
     """The spans of the parts of every text with this mask, or None if no make fits."""
-    if len(shape) > 80:
-        return None
+    return _parser(shape) if len(shape) <= REMEMBERED else _parser.__wrapped__(shape)
+
+
+@lru_cache(maxsize=4096)
+def _parser(shape: str):
     for g in _GRAMMAR:
         if m := g.fullmatch(shape):
             return {k: (m.start(k), m.end(k)) for k in m.groupdict() if m.start(k) >= 0}
@@ -98,12 +104,17 @@ def _offsets(words: list[str]) -> np.ndarray:
     return np.array([known[w] for w in words], np.int64)
 
 
-def parse_shape(texts: list[str], shape: str, default: str | ZoneTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parse_shape(texts: list[str], shape: str, default: str, rules: Zones) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTC microseconds, clock flag and validity of texts that all have the mask `shape`."""
     n = len(texts)
     none = (np.zeros(n, np.int64), np.zeros(n, np.int8), np.zeros(n, bool))
     if (at := parser(shape)) is None:
         return none
+    if "f" in at:  # digits after the sixth are cut off
+        a, b = at["f"]
+        texts = [t[: min(b, a + 6)] + t[b:] for t in texts]
+        shape, gone = shape[: min(b, a + 6)] + shape[b:], b - min(b, a + 6)
+        at = {k: (x, y) if y <= a else (a, b - gone) if k == "f" else (x - gone, y - gone) for k, (x, y) in at.items()}
     codes = np.array(texts, dtype=f"U{len(shape)}").view(np.uint32).reshape(n, len(shape))
     if "unix" in at:
         return _number(codes, at["unix"]) * (US if at["unix"][1] - at["unix"][0] == 10 else 1000), none[1], ~none[2]
@@ -149,12 +160,12 @@ def parse_shape(texts: list[str], shape: str, default: str | ZoneTable) -> tuple
         for name in set(names):
             rows = names == name
             if name == "":
-                table = zone_table(default) if isinstance(default, str) else default
+                table = rules.table(default)
             elif name.upper() in ABBREVIATIONS:
                 utc[rows] = local[rows] - ABBREVIATIONS[name.upper()] * 60
                 continue
             else:
-                table = zone_table(name) if "/" in name else None
+                table = rules.table(name)
             if table is None:
                 ok[rows] = False
             else:
@@ -162,7 +173,7 @@ def parse_shape(texts: list[str], shape: str, default: str | ZoneTable) -> tuple
     return utc * US + micros, clock, ok
 
 
-def parse_texts(texts: pd.Series, masks: pd.Series, default: str | ZoneTable) -> pd.DataFrame:
+def parse_texts(texts: pd.Series, masks: pd.Series, default: str, rules: Zones) -> pd.DataFrame:
     """`utc_us` (null if unreadable) and `clock` of a batch; equal texts are parsed once."""
     code, values = pd.factorize(texts, use_na_sentinel=True)
     utc, clock, ok = np.zeros(len(values) + 1, np.int64), np.zeros(len(values) + 1, np.int8), np.zeros(len(values) + 1, bool)
@@ -174,7 +185,7 @@ def parse_texts(texts: pd.Series, masks: pd.Series, default: str | ZoneTable) ->
         kind, kinds = pd.factorize(shapes)
         for k, shape in enumerate(kinds):
             at = np.flatnonzero(kind == k)
-            utc[at], clock[at], ok[at] = parse_shape([values[i] for i in at], shape, default)
+            utc[at], clock[at], ok[at] = parse_shape([values[i] for i in at], shape, default, rules)
     utc_us = pd.array(utc[code], dtype="Int64")
     utc_us[~ok[code]] = pd.NA
     return pd.DataFrame({"utc_us": utc_us, "clock": np.where(ok[code], clock[code], 0).astype(np.int8)})
@@ -185,15 +196,16 @@ def instant(text: Column, zone: str) -> Column:
 
     `utc_us` is null for null, empty and unreadable texts and for dates and
     times that do not exist. `clock` is 1 where the zone's clock shows the
-    reading twice, 2 where it never does. The zone's table is made on the
-    driver and sent along, so all workers use one version of it.
+    reading twice, 2 where it never does. The rules of all zones are those of
+    the driver, with their version, and sent along. The function counts as not
+    deterministic, so that no filter on its result makes it run twice.
     """
-    table = zone_table(zone)
-    if table is None:
+    if zones().table(zone) is None:
         raise ValueError(f"no such zone: {zone}")
+    packed = zones().packed()
 
     @F.pandas_udf(RESULT)
     def parse(texts: pd.Series, masks: pd.Series) -> pd.DataFrame:
-        return parse_texts(texts, masks, table)
+        return parse_texts(texts, masks, zone, unpacked(packed))
 
-    return parse(text, mask(text))
+    return parse.asNondeterministic()(text, mask(text))
