@@ -1,6 +1,9 @@
-"""The causes that a notice states, read with the closed lexicon as column functions."""
+"""The causes that a notice states, read with the closed lexicon.
 
-from collections.abc import Callable
+The reading is one SQL expression over the sentences of a row. It is put
+together as text, since it has some thousand nodes and each would be a call to
+the JVM otherwise. Lambda variables are named per function, so none is hidden.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,87 +12,72 @@ from permway.functions import lexicon as L
 from permway.functions.textops import readable, split_sentences
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+def _lit(text: str) -> str:
+    """A raw SQL string."""
+    quote = '"' if "'" in text else "'"
+    if quote in text:
+        raise ValueError(f"both kinds of quotes in {text!r}")
+    return f"r{quote}{text}{quote}"
 
 
-def _names(causes: Column) -> Column:
-    return F.transform(causes, lambda c: c["category"])
+def _re(pattern: str) -> str:
+    return _lit(L.java(pattern))
 
 
-def suppress(causes: Column) -> Column:
-    """Without categories that a more specific one of the same array beats."""
-
-    def drop(x: Column) -> Column:
-        for winner, losers in L.BEATS.items():
-            won = F.array_contains(_names(x), winner)
-            x = F.filter(x, _unless(won, losers))
-        return x
-
-    return bind(causes, drop)
+def _in(categories: tuple[str, ...]) -> str:
+    return ", ".join(map(_lit, categories))
 
 
-def _unless(won: Column, losers: tuple[str, ...]) -> Callable[[Column], Column]:
-    return lambda c: ~(won & c["category"].isin(*losers))
+def suppress(causes: str) -> str:
+    """Without categories that a more specific one of the same array beats."""
+    for n, (winner, losers) in enumerate(L.BEATS.items()):
+        won = f"array_contains(transform(sx{n}, sn{n} -> sn{n}.category), {_lit(winner)})"
+        causes = f"transform(array({causes}), sx{n} -> filter(sx{n}, sc{n} -> NOT ({won} AND sc{n}.category IN ({_in(losers)}))))[0]"
+    return causes
 
 
-def keep_first(causes: Column) -> Column:
+def keep_first(causes: str) -> str:
     """The first cause of each category."""
-    return bind(causes, lambda x: bind(_names(x), lambda names: F.filter(x, lambda c, i: F.array_position(names, c["category"]) == i + 1)))
+    kept = "filter(kx, (kc, ki) -> array_position(transform(kx, kn -> kn.category), kc.category) = ki + 1)"
+    return f"transform(array({causes}), kx -> {kept})[0]"
 
 
-def causes_in(clause: Column, marker: Column, role: Column) -> Column:
+def causes_in(clause: str, marker: str, role: str) -> str:
     """Every category that the clause names, in the order of their places, then of their names."""
-    hits = [
-        F.struct(F.lit(c).alias("category"), F.lit(f).alias("family"), F.lit(label).alias("label"), F.regexp_substr(clause, F.lit(L.java(p))).alias("matched"))
-        for c, f, label, p in L.CATEGORIES
-    ]
+    hits = ", ".join(
+        f"named_struct('category', {_lit(c)}, 'family', {_lit(f)}, 'label', {_lit(label)}, 'matched', regexp_extract({clause}, {_re(p)}, 0))" for c, f, label, p in L.CATEGORIES
+    )
     # A match is the first place of its own text, so a plain search finds where it is.
-    full = lambda x: F.struct(
-        F.call_function("locate", x["matched"], clause).alias("at"),
-        x["category"].alias("category"), x["family"].alias("family"), x["label"].alias("label"), clause.alias("phrase"), x["matched"].alias("matched"),
-        marker.alias("marker"), role.alias("role"), clause.rlike(L.java(L.EARLIER)).alias("earlier"),
-    )
-    return suppress(F.array_sort(F.transform(F.filter(F.array(*hits), lambda x: x["matched"].isNotNull()), full)))
-
-
-def segments(sentence: Column) -> Column:
-    """(marker, clause) of each cause clause: from its marker to the next, cut where it says something else."""
-    marks = F.regexp_extract_all(sentence, F.lit(L.java(L.MARKER)), F.lit(1))
-    parts = F.split(sentence, L.java(L.MARKER), -1)
-    cut = lambda p: F.btrim(F.split(p, L.java(L.TAIL), 2)[0], F.lit(" ,.-"))
-    zipped = bind(marks, lambda ms: F.zip_with(ms, F.slice(parts, F.lit(2), F.size(ms)), lambda m, p: F.struct(F.lower(m).alias("marker"), cut(p).alias("clause"))))
-    kept = F.filter(zipped, lambda x: x["clause"] != "")
+    whole = (
+        f"named_struct('at', locate(h.matched, {clause}), 'category', h.category, 'family', h.family, 'label', h.label, 'phrase', {clause}, 'matched', h.matched, "
+        f"'marker', {marker}, 'role', {role}, 'earlier', {clause} RLIKE {_re(L.EARLIER)})"
+    )
+    return suppress(f"array_sort(transform(filter(array({hits}), m -> m.matched <> ''), h -> {whole}))")
+
+
+def _segments(sentence: str) -> str:
+    marks = f"regexp_extract_all({sentence}, {_re(L.MARKER)}, 1)"
+    parts = f"split({sentence}, {_re(L.MARKER)}, -1)"
+    cut = f"btrim(split(gp, {_re(L.TAIL)}, 2)[0], ' ,.-')"
+    zipped = f"transform(array({marks}), gs -> zip_with(gs, slice({parts}, 2, size(gs)), (gm, gp) -> named_struct('marker', lower(gm), 'clause', {cut})))[0]"
     # Most sentences have no marker; a search without word boundaries tells so at less cost.
-    return F.when(sentence.rlike(L.java(L.MARKER.replace(r"\b", ""))), kept).otherwise(F.array().cast("array<struct<marker: string, clause: string>>"))
-
-
-def _marked(sents: Column) -> Column:
-    """Per clause of all sentences: its causes and its words."""
-
-    def clause(seg: Column, i: Column) -> Column:
-        role = F.when(i == 0, "proximate").otherwise("root")
-        return F.struct(causes_in(seg["clause"], seg["marker"], role).alias("causes"), seg["clause"].alias("clause"))
-
-    return F.flatten(F.transform(sents, lambda s: F.transform(segments(s), clause)))
-
-
-def _unmarked(sents: Column) -> Column:
-    found = F.flatten(F.transform(sents, lambda s: causes_in(s, F.lit(""), F.lit("proximate"))))
-    return F.filter(found, lambda c: c["category"].isin(*L.UNMARKED))
+    maybe = f"{sentence} RLIKE {_lit(L.java(L.MARKER.replace(chr(92) + 'b', '')))}"
+    return f"CASE WHEN {maybe} THEN filter({zipped}, gz -> gz.clause <> '') ELSE CAST(array() AS array<struct<marker: string, clause: string>>) END"
 
 
-def reading(sents: Column) -> Column:
-    """Struct `causes`, `unread` of the sentences of a notice, the head's before the text's."""
+def segments(sentence: str) -> Column:
+    """(marker, clause) of each cause clause of the column: from its marker to the next, cut where it says something else."""
+    return F.expr(_segments(sentence))
 
-    def read(clauses: Column) -> Column:
-        causes = F.flatten(F.transform(clauses, lambda x: x["causes"]))
-        unread = F.array_distinct(F.transform(F.filter(clauses, lambda x: F.size(x["causes"]) == 0), lambda x: x["clause"]))
-        causes = F.when(F.size(clauses) > 0, causes).otherwise(_unmarked(sents))
-        return F.struct(suppress(keep_first(causes)).alias("causes"), unread.alias("unread"))
 
-    return bind(_marked(sents), read)
+def reading(sents: str) -> Column:
+    """Struct `causes`, `unread` of the column of a notice's sentences, the head's before the text's."""
+    clause = f"named_struct('causes', {causes_in('g.clause', 'g.marker', 'if(gi = 0, ' + _lit('proximate') + ', ' + _lit('root') + ')')}, 'clause', g.clause)"
+    marked = f"flatten(transform({sents}, s -> transform({_segments('s')}, (g, gi) -> {clause})))"
+    unmarked = f"filter(flatten(transform({sents}, u -> {causes_in('u', _lit(''), _lit('proximate'))})), uc -> uc.category IN ({_in(L.UNMARKED)}))"
+    causes = f"CASE WHEN size(cl) > 0 THEN flatten(transform(cl, cx -> cx.causes)) ELSE {unmarked} END"
+    unread = "array_distinct(transform(filter(cl, cy -> size(cy.causes) = 0), cz -> cz.clause))"
+    return F.expr(f"transform(array({marked}), cl -> named_struct('causes', {suppress(keep_first(causes))}, 'unread', {unread}))[0]")
 
 
 def with_reading(df: DataFrame, head: str = "head", text: str = "text") -> DataFrame:
@@ -101,5 +89,5 @@ def with_reading(df: DataFrame, head: str = "head", text: str = "text") -> DataF
     """
     clean = df.withColumns({"__head": readable(F.col(head)), "__text": readable(F.col(text))})
     sents = clean.withColumn("__sents", F.concat(split_sentences(F.col("__head")), split_sentences(F.col("__text"))))
-    read = sents.withColumn("__read", reading(F.col("__sents")))
+    read = sents.withColumn("__read", reading("__sents"))
     return read.withColumns({"causes": F.col("__read.causes"), "unread": F.col("__read.unread")}).drop("__head", "__text", "__sents", "__read")

@@ -11,25 +11,33 @@ def local_day(at: Column, zone: str = ZONE) -> Column:
     return F.to_date(F.from_utc_timestamp(at, zone))
 
 
+def _run(horizon: DataFrame, start: str, zone: str) -> DataFrame:
+    """The first days `m` of the months from the first poll to the horizon."""
+    month = lambda at: F.trunc(local_day(at, zone), "month")
+    return horizon.select(F.explode(F.sequence(month(F.lit(start).cast("timestamp")), month(F.col("horizon")), F.expr("INTERVAL 1 MONTH"))).alias("m"))
+
+
 def months(found: DataFrame, horizon: DataFrame, start: str, zone: str = ZONE) -> DataFrame:
     """`ym` from the month of the first poll to that of the horizon, and every month that has a disruption."""
-    month = lambda at: F.trunc(local_day(at, zone), "month")
-    run = horizon.select(F.explode(F.sequence(month(F.lit(start).cast("timestamp")), month(F.col("horizon")), F.expr("INTERVAL 1 MONTH"))).alias("m"))
-    seen = found.select(month(F.col("first_seen")).alias("m"))
-    return run.union(seen).where("m IS NOT NULL").select(F.date_format("m", "yyyy-MM").alias("ym")).distinct()
+    seen = found.select(F.trunc(local_day(F.col("first_seen"), zone), "month").alias("m"))
+    return _run(horizon, start, zone).union(seen).where("m IS NOT NULL").select(F.date_format("m", "yyyy-MM").alias("ym")).distinct()
 
 
 def day_counts(found: DataFrame, horizon: DataFrame, start: str, now: str | None = None, zone: str = ZONE) -> DataFrame:
     """`ym, day, total, future` for every day of every month; `total` is null where nothing was observed, 0 where nothing was listed."""
-    first = F.to_date(F.concat("ym", F.lit("-01")))
-    days = months(found, horizon, start, zone).select("ym", F.explode(F.sequence(first, F.last_day(first))).alias("day"))
-    totals = found.groupBy(local_day(F.col("first_seen"), zone).alias("day")).agg(F.count("*").alias("n"))
+    month_days = lambda m: F.explode(F.sequence(m, F.last_day(m)))
+    none = F.lit(0).cast("bigint")
+    run = _run(horizon, start, zone).select(month_days(F.col("m")).alias("day"), none.alias("n"))
+    totals = found.where("first_seen IS NOT NULL").groupBy(local_day(F.col("first_seen"), zone).alias("on")).agg(F.count("*").alias("n"))
+    # Each day that has disruptions brings all days of its month along, so `found` is needed once.
+    seen = totals.select("on", "n", month_days(F.trunc("on", "month")).alias("day")).select("day", F.when(F.col("day") == F.col("on"), F.col("n")).otherwise(none).alias("n"))
+    days = run.unionAll(seen).groupBy("day").agg(F.sum("n").alias("n")).withColumn("ym", F.date_format("day", "yyyy-MM"))
     ends = horizon.select(local_day(F.col("horizon"), zone).alias("until"))
-    rows = days.join(totals, "day", "left").crossJoin(F.broadcast(ends))  # one row
+    rows = days.crossJoin(F.broadcast(ends))  # one row
     observed = (F.col("day") <= F.col("until")) & (F.col("day") >= local_day(F.lit(start).cast("timestamp"), zone))
     today = local_day(F.lit(now).cast("timestamp"), zone)
     future = ~observed & F.coalesce(F.col("day") > today, F.lit(False))
-    return rows.select("ym", "day", F.when(observed, F.coalesce("n", F.lit(0).cast("bigint"))).alias("total"), future.alias("future"))
+    return rows.select("ym", "day", F.when(observed, F.col("n")).alias("total"), future.alias("future"))
 
 
 def day_families(found: DataFrame, zone: str = ZONE) -> DataFrame:

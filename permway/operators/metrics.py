@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from permway.functions import lexicon as L
 from permway.operators.calendar import ZONE, local_day
+from permway.sources.shared import staged
 
 
 def with_month(found: DataFrame, zone: str = ZONE) -> DataFrame:
@@ -40,9 +41,10 @@ def paged(found: DataFrame, size: int = 10) -> DataFrame:
     """Per month, newest first: the page of each disruption and the number of pages.
 
     A month may be long, so places come from counts per day and a window over a
-    day, not from a window over the month.
+    day, not from a window over the month. The columns needed are stored once.
     """
-    rows = with_month(found).withColumn("day", local_day(F.col("first_seen")))
+    rows = with_month(found).select("ym", local_day(F.col("first_seen")).alias("day"), "start", "route", "first_seen", "first_seq")
+    rows = staged(rows, "paged")
     per_day = rows.groupBy("ym", "day").agg(F.count("*").alias("n"))
     month = Window.partitionBy("ym")  # one row per day
     later = F.coalesce(F.sum("n").over(month.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

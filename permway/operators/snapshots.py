@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from permway.functions import strictjson
 from permway.functions.instants import instant
 from permway.operators.chain import with_neighbours
+from permway.sources.shared import staged
 
 #: The field of a presence marker; no JSON key is null.
 PRESENCE = None
@@ -51,8 +52,8 @@ def cells_of(body: str | None, key: str = "itemRef") -> list | None:
     return list(items.items())
 
 
-def snapshots(poll_runs: DataFrame, with_items: bool) -> DataFrame:
-    """The good polls: `run_id`, `feed`, `utc_us` and, if wanted, their items as cells."""
+def snapshots(poll_runs: DataFrame) -> DataFrame:
+    """The good polls: `run_id`, `feed`, `utc_us` and their items as cells; stored, so that each body is parsed once."""
     good = poll_runs.where("http_status = 200 AND network_error IS NULL AND body IS NOT NULL AND fetched_at_utc IS NOT NULL")
     good = good.select("run_id", "feed", instant(F.col("fetched_at_utc"), "UTC")["utc_us"].alias("utc_us"), "body").where("utc_us IS NOT NULL")
 
@@ -60,21 +61,19 @@ def snapshots(poll_runs: DataFrame, with_items: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), CHUNK):  # the parsed items of a whole batch of large bodies would be too much at once
                 pdf = batch.iloc[at : at + CHUNK]
-                if with_items:
-                    items = [cells_of(b) for b in pdf["body"]]
-                else:
-                    items = [[] if isinstance(strictjson.loads(b), list) else None for b in pdf["body"]]
+                items = [cells_of(b) for b in pdf["body"]]
                 pdf = pdf.drop(columns="body")[[i is not None for i in items]]
                 yield pdf.assign(items=[[(r, c) for r, c in i] for i in items if i is not None])
 
-    return good.mapInPandas(read, _ITEMS)
+    return staged(good.mapInPandas(read, _ITEMS), "snapshots")
 
 
 def changed_cells(poll_runs: DataFrame) -> DataFrame:
     """Nonzero cells `run_id, item_ref, field, h1, h2, n` of each snapshot against the one before."""
-    links = with_neighbours(snapshots(poll_runs, False).drop("items"), "feed", "utc_us", "run_id")
+    read = snapshots(poll_runs)
+    links = with_neighbours(read.select("run_id", "feed", "utc_us"), "feed", "utc_us", "run_id")
     links = links.select("run_id", F.col("prev_id").alias("prev"), F.col("next_id").alias("next"))
-    one = snapshots(poll_runs, True).select("run_id", "items").join(links, "run_id")
+    one = read.select("run_id", "items").join(links, "run_id")
     # A snapshot counts +1 in its own comparison and -1 in the next one's.
     sides = F.filter(
         F.array(

@@ -2,32 +2,34 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PARTS = 1000
 
 
-def join_sums(rows: DataFrame, sums: DataFrame, keys: list[str], size: str, how: str = "inner", parts: int = PARTS) -> DataFrame:
-    """`rows` joined with `sums`, which has one row per key and the key's number of rows as `size`.
+def join_sums(rows: DataFrame, sums: DataFrame, keys: list[str], size: str, row_id: str, parts: int = PARTS) -> DataFrame:
+    """Inner join of `rows` with `sums`, which has one row per key and the key's number of rows as `size`.
 
-    Keys with more than 1/`parts` of all rows are hot. There are fewer than
-    `parts` of them by arithmetic, so they are broadcast and their rows stay
-    where they are; all other keys meet by a shuffle in which none has more
-    than its small share. Null keys meet each other. `how` is inner or left.
-    `sums` is computed more than once unless it is stored or its shuffle is
-    reused; columns of `rows` that are named like a value of `sums` must be
-    renamed before.
+    Keys with more than 1/`parts` of all counted rows are hot. There are fewer
+    than `parts` of them by arithmetic, so they are broadcast; all other keys
+    meet by a shuffle. Rows that have met a hot key pass through that shuffle
+    with a hash of `row_id` in the key, so they spread evenly. Null keys meet
+    each other. `rows` is computed once, `sums` three times unless it is stored
+    or its shuffle is reused; columns of `rows` that are named like a value of
+    `sums` must be renamed before.
     """
     values = [c for c in sums.columns if c not in keys]
     named = [F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)]
     total = sums.agg(F.sum(size).alias("__total"))
-    ranked = sums.select(*named, *values).crossJoin(F.broadcast(total))  # one row
-    is_hot = F.col(size) * parts > F.col("__total")
-    hot = ranked.where(is_hot).select(*[f"__s{i}" for i in range(len(keys))], *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__hot"))
-    cold = ranked.where(~is_hot).drop("__total")
-    same: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__s{i}")) for i, k in enumerate(keys)])
-    marked = rows.join(F.broadcast(hot), same, "left").drop(*[f"__s{i}" for i in range(len(keys))])
-    kept = lambda df, prefix: df.select(*rows.columns, *[F.col(prefix + v).alias(v) for v in values])
-    rest = marked.where("__hot IS NULL").select(*rows.columns).join(cold, same, how)
-    return kept(marked.where("__hot"), "__h_").unionAll(kept(rest, ""))
+    ranked = sums.select(*named, F.struct(*values).alias("__v")).crossJoin(F.broadcast(total))  # one row
+    is_hot = F.col(f"__v.{size}") * parts > F.col("__total")
+    slots = [f"__s{i}" for i in range(len(keys))]
+    hot = ranked.where(is_hot).select(*slots, F.col("__v").alias("__hot"))
+    cold = ranked.where(~is_hot).select(*slots, F.lit(0).cast("bigint").alias("__place"), "__v")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(s)) for k, s in zip(keys, slots, strict=True)])
+    marked = rows.join(F.broadcast(hot), same, "left").drop(*slots)
+    spread = F.when(F.col("__hot").isNotNull(), F.greatest(F.lit(1).cast("bigint"), F.abs(F.xxhash64(row_id)))).otherwise(F.lit(0).cast("bigint"))
+    met = marked.withColumn("__spread", spread).join(cold, same & (F.col("__spread") == F.col("__place")), "left")
+    met = met.withColumn("__v", F.coalesce("__hot", "__v")).where("__v IS NOT NULL")
+    return met.select(*rows.columns, *[F.col(f"__v.{v}").alias(v) for v in values])

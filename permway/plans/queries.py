@@ -78,7 +78,7 @@ def sentence_split(spark, d):
 
 
 def marker_segments(spark, d):
-    rows = _sentences(spark, d).select("notice_id", "pos", F.posexplode_outer(segments(F.col("sentence"))).alias("seg", "s")).where("seg IS NOT NULL")
+    rows = _sentences(spark, d).select("notice_id", "pos", F.posexplode_outer(segments("sentence")).alias("seg", "s")).where("seg IS NOT NULL")
     return rows.select("notice_id", "pos", "seg", "s.marker", "s.clause")
 
 
@@ -143,7 +143,7 @@ def resolve_route(spark, d):
 
 
 def updates_log(spark, d):
-    rows = fold.updates(fold.resolve(_sightings(spark, d)))
+    rows = fold.updates(_sightings(spark, d))
     return rows.select("start", "route_from", "route_to", _us("seen_at"), "seq", "head", "text")
 
 

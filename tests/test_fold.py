@@ -25,11 +25,15 @@ ROWS = [
 
 def test_resolve_and_fold(spark):
     seen = spark.createDataFrame(ROWS, SEEN).withColumns({"last": F.lit(1), "network": F.lit(1), "prev": F.lit(1)})
-    got = {r.seq: (r.branch, r.route_from, r.route_to) for r in fold.resolve(seen).collect()}
-    assert got == {
+    want = {
         1: ("own", "X", "Y"), 2: ("single", "X", "Y"), 3: ("single", "X", "Y"), 4: ("network", "Several services", None), 5: ("network", "Several services", None),
         6: ("own", "X", "Y"), 7: ("own", "X", "Z"), 8: ("wording", "X", "Z"), 9: ("none", None, None), 10: ("own", "X", "X"), 11: ("none", None, None),
     }
+    for hot in (0, 2, fold.HOT_ROWS):  # each start by itself, some, or none takes the long way
+        assert {r.seq: (r.branch, r.route_from, r.route_to) for r in fold.resolve(seen, hot).collect()} == want
+    ways = [sorted(map(str, fold.disruptions(seen, hot).collect())) for hot in (0, 2, fold.HOT_ROWS)]
+    assert ways[0] == ways[1] == ways[2]
+    assert sorted(r.seq for r in fold.updates(seen, 0).collect()) == sorted(r.seq for r in fold.updates(seen).collect())
     folded = {(r.start, r.route): r for r in fold.disruptions(seen).collect()}
     assert len(folded) == 7
     s1 = folded["s1", "X to Y"]
