@@ -95,4 +95,4 @@ def found(notices: DataFrame) -> DataFrame:
     """
     rows = staged(keyed(notices), "copies")
     many = groups(rows).where("n > 1")
-    return join_sums(rows, many, KEY, "n").where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    return join_sums(rows, many, KEY, "n", "id").where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))

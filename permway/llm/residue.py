@@ -204,7 +204,7 @@ def marked(notices: DataFrame, id_col: str = "notice_id", columns: tuple[str, ..
     rows = staged(fields(notices, id_col, columns), "fields")
     known = with_cuts(staged(groups(rows), "messages")).where("kind IS NOT NULL").select("h1", "h2", "message", "kind", "n")
     known = staged(known.groupBy("h1", "h2").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "residue")
-    hit = join_sums(rows.select("id", "blank", "h1", "h2"), known, ["h1", "h2"], "n").select("id", "blank", "kind")
+    hit = join_sums(rows.select("id", "blank", "h1", "h2"), known, ["h1", "h2"], "n", "id").select("id", "blank", "kind")
     hit = hit.groupBy("id").agg(
         F.array_sort(F.collect_set("kind")).alias("kinds"), F.count_if(~F.col("blank") | (F.col("kind") != "no_content")).alias("written"), F.count_if(F.col("kind") == "no_content").alias("void")
     )
