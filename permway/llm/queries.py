@@ -44,19 +44,30 @@ def p9_found(spark, d):
     return lookalike.same_look(table(spark, d, "documents"))
 
 
+def p9_classes(spark, d):
+    return lookalike.classes(table(spark, d, "documents"))
+
+
 def p9_texts(spark, d):
+    """The form in which texts that look the same are equal."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", lookalike.look_form(docs["text"]).alias("text_form"))
+
+
+def p9_readable(spark, d):
+    """The same for readers, with words of other scripts in their script."""
     return lookalike.normalise(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "text_form")
 
 
-_NAMES = [p3_found, p3_messages, p4_found, p4_counts, p7_found, p7_scrubbed, p8_mixture, p8_shares, p9_found, p9_texts]
+_NAMES = [p3_found, p3_messages, p4_found, p4_counts, p7_found, p7_scrubbed, p8_mixture, p8_shares, p9_found, p9_classes, p9_texts, p9_readable]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 
 
 def _look(text: str) -> str:
     """The one form of a text in SQL, by the same tables."""
     table = lookalike.table()
-    gone = "".join(k for k, v in table.items() if v == "")
-    single = {k: v for k, v in table.items() if len(v) == 1}
+    gone = "".join(k for k, v in table.items() if v == "" and k < "\U000e0000")
+    single = {k: v for k, v in table.items() if len(v) == 1 and len(k) == 1}
     sql = f"regexp_replace({text}, '[{gone}\U000e0000-\U000e0fff]', '', 'g')"
     for k, v in table.items():
         if len(v) > 1 and ("ﬀ" <= k <= "ﬆ"):
@@ -128,6 +139,11 @@ ORACLE = {
         dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
         eg AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM e WHERE len(w) >= 12)
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p9_texts": f"SELECT doc_id, {_look('text')} AS text_form FROM documents",
+    "p9_classes": f"""
+        WITH d AS (SELECT doc_id, text, {_look("text")} AS f FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT f, text, count(*) AS same FROM d GROUP BY ALL), g AS (SELECT f, min(doc_id) AS class_id, count(*) AS n FROM d GROUP BY f HAVING count(DISTINCT text) > 1)
+        SELECT doc_id, class_id, n - same AS links FROM d JOIN g USING (f) JOIN t USING (f, text)""",
     "p9_found": f"""
         WITH d AS (SELECT doc_id, text, {_look("text")} AS f FROM documents WHERE text IS NOT NULL)
         SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text""",
