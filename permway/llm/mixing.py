@@ -7,7 +7,6 @@ more than the one before. The routed amounts are then filled with documents in
 the order of a seeded hash.
 """
 
-import heapq
 import os
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,7 +18,10 @@ from pyspark.sql import types as T
 
 from permway.sources.shared import shared_dir
 
-BUCKETS = 4096
+#: Documents that share a bucket of hashes, on average; a window orders one bucket.
+BUCKET_DOCS = 20_000
+#: Routed pieces that may be broadcast; beyond, they are joined by a shuffle.
+BROADCAST_PIECES = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -57,80 +59,132 @@ class Target:
     max_repeats: int
 
 
-def _augment(graph: list[list[list[int]]], s: int, t: int) -> int:
-    """Min-cost max-flow by successive shortest paths with potentials; edges are [to, capacity, cost, back]."""
-    n, total = len(graph), 0
-    height = [0] * n
-    while True:
-        dist, via = [None] * n, [None] * n
-        dist[s], queue = 0, [(0, s)]
-        while queue:
-            d, u = heapq.heappop(queue)
-            if d > dist[u]:
-                continue
-            for k, (v, cap, cost, _) in enumerate(graph[u]):
-                if cap > 0 and (dist[v] is None or d + cost + height[u] - height[v] < dist[v]):
-                    dist[v], via[v] = d + cost + height[u] - height[v], (u, k)
-                    heapq.heappush(queue, (dist[v], v))
-        if dist[t] is None:
-            return total
-        height = [h + (d if d is not None else dist[t]) for h, d in zip(height, dist, strict=True)]
-        push, v = None, t
-        while v != s:
-            u, k = via[v]
-            push = graph[u][k][1] if push is None else min(push, graph[u][k][1])
-            v = u
-        v = t
-        while v != s:
-            u, k = via[v]
-            graph[u][k][1] -= push
-            graph[v][graph[u][k][3]][1] += push
-            v = u
-        total += push
-
-
-def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[Target], total: int) -> dict[tuple[tuple[str, ...], str, int], int]:
-    """Tokens routed from (pattern, layer of use) to source, by (pattern, source, layer).
-
-    A pattern's tokens can be used once in each layer 1, 2, ...; a source takes
-    them up to layer `max_repeats`. A use in layer k costs k, so the flow
-    repeats nothing while unused tokens can fill a quota.
-    """
-    sources = {t.source: t for t in targets}
-    depth = {p: max(sources[s].max_repeats for s in p) for p, _ in patterns}
-    layers = [(p, k, size) for p, size in patterns for k in range(1, depth[p] + 1)]
-    s, t = 0, 1 + len(layers) + len(targets)
-    graph: list[list[list[int]]] = [[] for _ in range(t + 1)]
-
-    def edge(u: int, v: int, cap: int, cost: int) -> list[int]:
-        graph[u].append([v, cap, cost, len(graph[v])])
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
-        return graph[u][-1]
-
+class Network:
+    """Maximal flows by Dinic's method on arcs that can be added while it stands: [to, capacity left, index of the arc back]."""
+
+    def __init__(self, nodes: int):
+        self.arcs: list[list[list[int]]] = [[] for _ in range(nodes)]
+
+    def add(self, u: int, v: int, capacity: int) -> list[int]:
+        self.arcs[u].append([v, capacity, len(self.arcs[v])])
+        self.arcs[v].append([u, 0, len(self.arcs[u]) - 1])
+        return self.arcs[u][-1]
+
+    def levels(self, s: int) -> list[int]:
+        """The distance of each node from `s` along arcs with capacity left, -1 if there is no way."""
+        level = [-1] * len(self.arcs)
+        level[s], wave = 0, [s]
+        while wave:
+            ahead = []
+            for u in wave:
+                for v, left, _ in self.arcs[u]:
+                    if left > 0 and level[v] < 0:
+                        level[v] = level[u] + 1
+                        ahead.append(v)
+            wave = ahead
+        return level
+
+    def push(self, s: int, t: int) -> int:
+        """Augment until no way is left; the flow that was added."""
+        arcs, total = self.arcs, 0
+        while (level := self.levels(s))[t] >= 0:
+            tried = [0] * len(arcs)
+            path: list[tuple[int, list[int]]] = []
+            u = s
+            while True:
+                if u == t:
+                    amount = min(arc[1] for _, arc in path)
+                    total += amount
+                    for _, arc in path:
+                        arc[1] -= amount
+                        arcs[arc[0]][arc[2]][1] += amount
+                    full = next(i for i, (_, arc) in enumerate(path) if arc[1] == 0)
+                    u = path[full][0]
+                    del path[full:]
+                while tried[u] < len(arcs[u]):
+                    arc = arcs[u][tried[u]]
+                    if arc[1] > 0 and level[arc[0]] == level[u] + 1:
+                        break
+                    tried[u] += 1
+                else:
+                    if u == s:
+                        break
+                    u, _ = path.pop()
+                    tried[u] += 1
+                    continue
+                path.append((u, arc))
+                u = arc[0]
+        return total
+
+
+Patterns = list[tuple[tuple[str, ...], int]]
+
+
+def _network(patterns: Patterns, targets: list[Target], total: int) -> tuple[Network, list[list[list]], dict, int, dict[str, int]]:
+    """The network without the arcs of supply: those per layer, the arcs to sources, the sink, and the nodes of the sources."""
+    sources = {x.source: x for x in targets}
+    own = [(p, size, max((sources[s].max_repeats for s in p if s in sources), default=0)) for p, size in patterns]
+    layers = [(p, k, size) for p, size, depth in own for k in range(1, depth + 1)]
+    t = 1 + len(layers) + len(targets)
+    net = Network(t + 1)
     at = {x.source: 1 + len(layers) + i for i, x in enumerate(targets)}
-    arcs = {}
+    supply: list[list[list]] = [[] for _ in range(max((d for _, _, d in own), default=0))]
+    uses = {}
     for i, (p, k, size) in enumerate(layers):
-        edge(s, 1 + i, size, k)
+        supply[k - 1].append([1 + i, size])
         for source in p:
-            if k <= sources[source].max_repeats:
-                arcs[p, source, k] = (edge(1 + i, at[source], size, 0), size)
+            if source in sources and k <= sources[source].max_repeats:
+                uses[p, source, k] = (net.add(1 + i, at[source], size), size)
     for x in targets:
-        edge(at[x.source], t, round(x.share * total), 0)
-    _augment(graph, s, t)
-    return {key: size - arc[1] for key, (arc, size) in arcs.items() if size > arc[1]}
+        net.add(at[x.source], t, round(x.share * total))
+    return net, supply, uses, t, at
+
 
+def route(patterns: Patterns, targets: list[Target], total: int) -> dict[tuple[tuple[str, ...], str, int], int]:
+    """Tokens routed from (pattern, layer of use) to source, by (pattern, source, layer): a flow of least cost.
 
-def largest_total(patterns: list[tuple[tuple[str, ...], int]], targets: list[Target]) -> int:
-    """The largest total at which every source that has documents can fill its quota."""
+    A pattern's tokens can be used once in each layer 1, 2, ...; a source takes
+    them up to layer `max_repeats`. A use in layer k costs more than one in the
+    layer before, so costs are convex and nothing is repeated while unused
+    tokens can fill a quota. Only the arcs of supply have costs, hence ways of
+    least cost are those that start in the lowest layer: opening the layers
+    one after the other and filling up each time gives the flow of least cost.
+    """
+    net, supply, uses, t, _ = _network(patterns, targets, total)
+    for layer in supply:
+        for node, size in layer:
+            net.add(0, node, size)
+        net.push(0, t)
+    return {key: size - arc[1] for key, (arc, size) in uses.items() if size > arc[1]}
+
+
+def largest_total(patterns: Patterns, targets: list[Target]) -> int:
+    """The largest total at which every source that has documents can fill its quota, but for the rounding of quotas to whole tokens.
+
+    For every set of sources the quotas must not exceed what its documents can
+    give. Starting above, a flow that leaves a quota open names a set that is
+    short, by the cut; the total falls to what that set allows, and so on. Each
+    step is exact and finds another set, so a few flows are enough.
+    """
     able = {x.source for x in targets for p, size in patterns if x.source in p and size and x.max_repeats > 0 and x.share > 0}
     live = [x for x in targets if x.source in able]
-    low, high = 0, sum(size * max(x.max_repeats for x in live if x.source in p) for p, size in patterns if set(p) & able) if live else 0
-    high = int(high / max(sum(x.share for x in live), 1e-9)) + 1 if live else 0
-    while low < high:
-        mid = (low + high + 1) // 2
-        filled = sum(route(patterns, live, mid).values())
-        low, high = (mid, high) if filled >= sum(round(x.share * mid) for x in live) else (low, mid - 1)
-    return low
+    if not live:
+        return 0
+    repeats = {x.source: x.max_repeats for x in live}
+    gives = lambda some: sum(size * max((repeats[s] for s in p if s in some), default=0) for p, size in patterns)
+    share = lambda some: sum(x.share for x in live if x.source in some)
+    total = int(gives(able) / share(able)) + 1
+    while total > 0:
+        net, supply, _, t, at = _network(patterns, live, total)
+        for layer in supply:
+            for node, size in layer:
+                net.add(0, node, size)
+        if net.push(0, t) >= sum(round(x.share * total) for x in live):
+            return total
+        reached = net.levels(0)
+        short = {s for s, node in at.items() if reached[node] < 0}
+        total = min(total - 1, int(gives(short) / share(short)) + 1)
+    return 0
 
 
 def _amounts(flow: dict, patterns: list, targets: list[Target]) -> list[tuple[str, str, int, int]]:
@@ -173,7 +227,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     has any documents reaches its share without using one more than
     `max_repeats` times. A source without documents stays at 0 and the others
     keep their proportions. The targets and the sums by pattern come to the
-    driver (at most `max_patterns` of them, else an error); documents never do.
+    driver, which raises an error for more than `max_patterns` of either, as
+    the flow is found there; documents never do.
     Documents fill each routed amount in the order of their seeded hash, so the
     reached amount differs from it by at most one document per routed piece.
     """
@@ -196,14 +251,16 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     # hashes (a small sum per pattern and bucket) and before it within the bucket (a window over a bucket).
     from pyspark.sql import Window
 
-    docs = docs.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    buckets = max(1, sum(r.n_docs for r in rows) // BUCKET_DOCS)
+    docs = docs.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     line = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = docs.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(line), F.lit(0))).drop("n")
     inside = Window.partitionBy("pattern", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, ["pattern", "bucket"])
     placed = placed.select("doc_id", "pattern", "n_tokens", (F.col("start") + F.col("ahead") + F.col("n_tokens") / 2).alias("at"))
     schema = "pattern string, source string, first bigint, last bigint"
-    piece = F.broadcast(spark.createDataFrame(pieces, schema))  # at most patterns x sources x repeats rows
+    piece = spark.createDataFrame(pieces, schema)
+    piece = F.broadcast(piece) if len(pieces) <= BROADCAST_PIECES else piece.hint("merge")
     chosen = placed.join(piece, "pattern").where("at >= first AND at < last")
     selection = chosen.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.count("*").alias("uses"))
 
