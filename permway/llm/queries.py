@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from permway.llm import copies, leakage, lookalike, mixing, residue
 from permway.sources.tables import table
@@ -40,6 +41,15 @@ def p8_shares(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
 
 
+def p8_limits(spark, d):
+    """Whether each source keeps its limit of uses and comes within a hundredth of its share among the sources that have documents."""
+    live = F.when(F.col("n_docs") > 0, F.col("target_share")).otherwise(0.0)
+    shares = p8_shares(spark, d)
+    goal = F.col("live") / F.col("all_live")
+    rows = shares.withColumn("live", live).crossJoin(F.broadcast(shares.agg(F.sum(live).alias("all_live"))))  # one row
+    return rows.select("source", "n_docs", (F.col("most_uses") <= F.col("max_repeats")).alias("uses_kept"), (F.abs(F.col("share") - goal) <= 0.01).alias("share_reached"))
+
+
 def p9_found(spark, d):
     return lookalike.same_look(table(spark, d, "documents"))
 
@@ -59,7 +69,7 @@ def p9_readable(spark, d):
     return lookalike.normalise(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "text_form")
 
 
-_NAMES = [p3_found, p3_messages, p4_found, p4_counts, p7_found, p7_scrubbed, p8_mixture, p8_shares, p9_found, p9_classes, p9_texts, p9_readable]
+_NAMES = [p3_found, p3_messages, p4_found, p4_counts, p7_found, p7_scrubbed, p8_mixture, p8_shares, p8_limits, p9_found, p9_classes, p9_texts, p9_readable]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 
 
@@ -139,6 +149,7 @@ ORACLE = {
         dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
         eg AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM e WHERE len(w) >= 12)
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p8_limits": "SELECT t.source, count(doc_id) AS n_docs, true AS uses_kept, true AS share_reached FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text IS NOT NULL GROUP BY t.source",
     "p9_texts": f"SELECT doc_id, {_look('text')} AS text_form FROM documents",
     "p9_classes": f"""
         WITH d AS (SELECT doc_id, text, {_look("text")} AS f FROM documents WHERE text IS NOT NULL),

@@ -1,6 +1,6 @@
 import random
 
-from permway.llm.leakage import Automaton, automaton_of, found, leaks, scrub, word_form, word_spans
+from permway.llm.leakage import Automaton, automata, found, leaks, scrub, word_form, word_spans
 
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen"), (2, "Three four five six seven eight nine ten eleven twelve thirteen FOURTEEN, end."), (3, "too short")]
 DOCS = [
@@ -31,12 +31,13 @@ def test_scrub(spark):
     assert rows[2].text == DOCS[1][1] and 4 not in rows
 
 
-def test_size_is_checked(spark):
-    try:
-        automaton_of(frames(spark)[1], max_chars=10)
-    except ValueError:
-        return
-    raise AssertionError
+def test_blocks_find_what_one_automaton_finds(spark):
+    docs, items = frames(spark)
+    assert len(list(automata(items, block_chars=10))) == 3 and len(list(automata(items))) == 1 and not list(automata(items.limit(0)))
+    assert sorted(map(tuple, leaks(docs, items, block_chars=10).collect())) == sorted(map(tuple, leaks(docs, items).collect()))
+    for share in (0.5, 0.9):
+        one, many = (sorted(map(tuple, scrub(docs, items, max_coverage=share, block_chars=n).collect())) for n in (10, 10**6))
+        assert one == many
 
 
 def test_against_brute_force():
