@@ -6,41 +6,58 @@ from pyspark.sql import functions as F
 from permway.functions import lexicon as L
 from permway.functions.textops import strip
 
-RUN = "http_status STRING, network_error STRING, body STRING, fetched_at_utc STRING"
-_FALSY = ("", "false", "0", "0.0", "[]", "{}")
+RUN = "http_status VARIANT, network_error VARIANT, fetched_at_utc STRING, body VARIANT"
+# What counts as no error, as JSON.
+_NOTHING = ("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}")
 
 
-def read_log(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The lines of `raw/messages-*.jsonl` as runs, with `seq` in path and line order.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-    Lines that are no JSON objects are skipped. `http_status` counts only as a
-    number. `seq` is a struct; ids alone don't follow the order of the paths.
-    """
+
+def _one_value(text: Column) -> Column:
+    """Whether a text that is one JSON value, or several members, between braces is one value: what could close the one kind of bracket breaks the other."""
+    return F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)) == 1
+
+
+def read_log(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The lines of `raw/messages-*.jsonl` as runs, with `seq` in path and line order; ids alone don't follow the order of the paths."""
     lines = spark.read.text(f"{data_dir}/raw/messages-*.jsonl")
     seq = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    rows = lines.select(seq.alias("seq"), "value").where(F.ltrim("value").startswith("{"))
-    run = rows.select("seq", "value", F.from_json("value", RUN).alias("r")).where("r IS NOT NULL")
-    status = F.get_json_object("value", "$.http_status")
-    quoted = F.col("value").rlike(r'"http_status"\s*:\s*"')
-    return run.select("seq", F.when(~quoted, status.try_cast("int")).alias("http_status"), "r.network_error", "r.fetched_at_utc", "r.body")
-
+    return decode_lines(lines.select(seq.alias("seq"), F.col("value").alias("line")))
 
-def falsy(error: Column) -> Column:
-    return error.isNull() | error.isin(*_FALSY)
 
+def decode_lines(lines: DataFrame) -> DataFrame:
+    """Log lines as runs: `http_status`, `network_error`, `fetched_at_utc`, `body` beside the other columns of `lines`.
 
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    Lines that are no JSON objects are skipped. Fields are judged by their JSON
+    type: a status counts only as a number, a body only as text, and an error
+    is none if it is null, false, zero or empty; text such as "false" is one.
+    """
+    read = F.from_json(F.concat(F.lit('{"r":'), "line", F.lit("}")), f"r STRUCT<{RUN}>", _STRICT)["r"]
+    rows = lines.where(F.ltrim("line").startswith("{")).withColumn("__r", F.when(_one_value(F.col("line")), read)).where("__r IS NOT NULL")
+    json = lambda f: F.to_json(f"__r.{f}")
+    error, status = json("network_error"), json("http_status")
+    typed = {
+        "http_status": F.when(~status.startswith('"') & (F.pmod(status.try_cast("double"), F.lit(1.0)) == 0), status.try_cast("double").try_cast("int")),
+        "network_error": F.when(~error.isin(*_NOTHING), F.col("__r.network_error").try_cast("string")),
+        "fetched_at_utc": F.col("__r.fetched_at_utc"),
+        "body": F.when(json("body").startswith('"'), F.col("__r.body").try_cast("string")),
+    }
+    return rows.select(*[c for c in lines.columns if c not in ("line", *typed)], *[c.alias(n) for n, c in typed.items()])
 
 
 def json_array(text: Column) -> Column:
-    """The elements of a JSON array as JSON texts; null for anything else, also for an array with something after it."""
-    whole = F.from_json(F.concat(F.lit('{"b":'), text, F.lit("}")), "b array<string>", _STRICT)["b"]
-    return F.when(F.rtrim(F.translate(text, "\t\r\n", "   ")).endswith("]"), whole)
+    """The elements of a JSON array as JSON texts; null for anything else, also for an array with something after it.
+
+    The text is read between braces, and must be one value between brackets too.
+    """
+    elements = F.from_json(F.concat(F.lit('{"b":'), text, F.lit("}")), "b array<string>", _STRICT)["b"]
+    return F.when(_one_value(text) & F.ltrim(F.translate(text, "\t\r\n", "   ")).startswith("["), elements)
 
 
 def good_runs(runs: DataFrame) -> DataFrame:
     """Runs with status 200, no error and a body that is a JSON array, as `items` (array of JSON texts)."""
-    ok = runs.where((F.col("http_status") == 200) & falsy(F.col("network_error")))
+    ok = runs.where("http_status = 200 AND (network_error IS NULL OR network_error = '')")
     return ok.withColumn("items", json_array(F.col("body"))).where("items IS NOT NULL")
 
 

@@ -1,7 +1,7 @@
 """SQL for the queries, in DuckDB's dialect, over the same tables."""
 
 from permway.functions import lexicon as L
-from permway.plans.queries import COLLECTION_START, NOW, PINNED_BEFORE
+from permway.plans.queries import COLLECTION_START, NOW
 
 
 def _q(text: str) -> str:
@@ -85,10 +85,23 @@ def _reading(source: str) -> str:
 _NOTICES = "SELECT notice_id AS id, head, text FROM notices"
 _READ = "WITH " + _reading(_NOTICES)
 
-_FALSY = "(network_error IS NULL OR network_error IN ('', 'false', '0', '0.0', '[]', '{}'))"
-# The reader's check takes a comma before a closing bracket and NaN; a strict one doesn't.
-_STRICT = "json_valid(body) AND json_type(body) = 'ARRAY' AND NOT regexp_matches(body, ',\\s*[\\]}]|(NaN|Infinity)')"
-_GOOD = f"""good AS (SELECT * FROM poll_runs WHERE http_status = 200 AND {_FALSY} AND {_STRICT}),
+_NO_ERROR = "(network_error IS NULL OR network_error = '')"
+def _strict(x: str, kind: str) -> str:
+    """Whether a text is strict JSON of a kind; the reader's leniencies are looked for outside of strings."""
+    bare = f"""regexp_replace({x}, '"(\\\\.|[^"\\\\])*"', 's', 'g')"""
+    return f"(CASE WHEN {x} IS NOT NULL AND json_valid({x}) THEN json_type({x}) = '{kind}' AND NOT regexp_matches({bare}, ',\\s*[\\]}}]|NaN|Infinity|nan|inf') ELSE false END)"
+
+
+def _strict_array(x: str) -> str:
+    return _strict(x, "ARRAY")
+
+
+_STRICT = _strict_array("body")
+_LOG = f"""lines AS (SELECT line_id, line FROM raw_lines WHERE file_name LIKE '%.jsonl' AND {_strict('line', 'OBJECT')}),
+    poll_log AS (SELECT line_id, CASE WHEN regexp_full_match(line->>'http_status', '\\d{{1,9}}') AND json_type(line, '$.http_status') <> 'VARCHAR' THEN (line->>'http_status')::INT END AS http_status,
+        CASE WHEN coalesce(line->'network_error', 'null') NOT IN ('null', 'false', '0', '""', '[]', '{{}}') THEN line->>'network_error' END AS network_error, line->>'fetched_at_utc' AS fetched_at_utc,
+        CASE WHEN json_type(line, '$.body') = 'VARCHAR' THEN line->>'body' END AS body FROM lines)"""
+_GOOD = f"""good AS (SELECT * FROM poll_runs WHERE http_status = 200 AND {_NO_ERROR} AND {_strict_array('body')}),
     timed AS (SELECT *, try_strptime(fetched_at_utc, '%Y-%m-%dT%H:%M:%SZ') AS tm FROM good WHERE try_strptime(fetched_at_utc, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL),
     horizon AS (SELECT max(tm) AS horizon, count(*) AS runs FROM timed)"""
 
@@ -132,12 +145,6 @@ def _instants(name: str, source: str, text: str, local: bool) -> str:
             + left(rpad(fr, 6, '0'), 6)::BIGINT END AS us, {within(spring)} OR {within(autumn)} AS odd FROM {name}1)"""
 
 
-def _strict_array(x: str) -> str:
-    """Whether a text is strict JSON for an array; the reader's leniencies are looked for outside of strings."""
-    bare = f"""regexp_replace({x}, '"(\\\\.|[^"\\\\])*"', 's', 'g')"""
-    return f"(CASE WHEN {x} IS NOT NULL AND json_valid({x}) THEN json_type({x}) = 'ARRAY' AND NOT regexp_matches({bare}, ',\\s*[\\]}}]|NaN|Infinity|nan|inf') ELSE false END)"
-
-
 _CELL = '("(?:[^"]|"")*"|[^",\\r\\n]*)'
 _RECORD = ",".join([_CELL] * 4)
 
@@ -183,22 +190,28 @@ _MONTHS = f"""{_GOOD}, ml AS (SELECT unnest(generate_series(date_trunc('month',
 
 
 def _golden(select: str) -> str:
-    causes = "list({'category': category, 'family': family, 'phrase': phrase, 'matched': matched, 'marker': marker, 'role': role, 'earlier': earlier} ORDER BY ord)"
+    wordings = lambda where: f"SELECT DISTINCT coalesce(head, '') AS head, coalesce(text, '') AS text FROM notices WHERE {where}"
     return f"""WITH {_reading("SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT coalesce(head, '') AS head, coalesce(text, '') AS text FROM notices)")},
-    cur AS (SELECT s.head, s.text, string_agg(CASE WHEN category = 'signalling' THEN 'points' ELSE category END, ',' ORDER BY ord) AS causes, string_agg(category, ',' ORDER BY ord) AS before, {causes} AS whole FROM src s LEFT JOIN causes c ON s.id = c.id GROUP BY ALL),
-    stored AS (SELECT DISTINCT coalesce(head, '') AS head, coalesce(text, '') AS text FROM notices WHERE first_seen < '{PINNED_BEFORE}') {select}"""
+    told AS (SELECT id, string_agg(category, ',' ORDER BY ord) AS told, string_agg(CASE WHEN category = 'signalling' THEN 'points' ELSE category END, ',' ORDER BY ord) AS renamed FROM causes GROUP BY id),
+    missed AS (SELECT id, bool_or(upper(clause) <> clause) AS louder FROM unread GROUP BY id),
+    readings AS (SELECT head, text, coalesce(told, '') AS told, coalesce(renamed, '') AS renamed, coalesce(louder, false) AS louder FROM src LEFT JOIN told USING (id) LEFT JOIN missed USING (id)),
+    stored AS (SELECT * FROM readings SEMI JOIN ({wordings("notice_id % 2 = 0")}) USING (head, text)),
+    cur AS (SELECT * FROM readings SEMI JOIN ({wordings("notice_id % 3 <> 0")}) USING (head, text)) {select}"""
 
 
 ORACLE = {
+    "log_decode": f"WITH {_LOG} SELECT * FROM poll_log",
+    "log_horizon": f"WITH {_LOG}, {_GOOD.replace('FROM poll_runs', 'FROM poll_log')} SELECT epoch_us(horizon) AS horizon, runs FROM horizon",
+    "log_items": f"WITH {_LOG}, {_GOOD.replace('FROM poll_runs', 'FROM poll_log')}, {_items('good')} SELECT line_id, item_pos, head, text, start, origin, destination, legs, codes FROM items",
     "runs_horizon": f"WITH {_GOOD} SELECT epoch_us(horizon) AS horizon, runs FROM horizon",
     "sightings_decode": f"WITH {_GOOD}, {_items('timed')} SELECT run_id, item_pos, head, text, start, origin, destination, legs, epoch_us(tm) AS seen_at FROM items",
     "notices_decode": f"WITH {_GOOD}, {_items('good')} SELECT run_id, item_pos, head, text, start, codes FROM items",
     "subject_filter": f"SELECT notice_id FROM notices WHERE {_SUBJECT}",
     "plain_text": f"SELECT notice_id, {_plain('head')} AS head, {_plain('text')} AS text FROM notices",
     "readable_text": f"SELECT notice_id, {_readable('head')} AS head, {_readable('text')} AS text FROM notices",
-    "sentence_split": f"WITH {_reading(_NOTICES)} SELECT id AS notice_id, (sord - 1)::INT AS pos, s AS sentence FROM sents WHERE fld = 1",
-    "marker_segments": f"WITH {_reading(_NOTICES)} SELECT id AS notice_id, (sord - 1)::INT AS pos, (gord - 1)::INT AS seg, g.marker AS marker, g.clause AS clause FROM segs WHERE fld = 1",
-    "clause_cut": f"WITH {_reading(_NOTICES)} SELECT id AS notice_id, (sord - 1)::INT AS pos, trim(string_split_regex(s, {_TAIL})[1], ' ,.-') AS clause FROM sents WHERE fld = 1",
+    "sentence_split": f"WITH {_reading(_NOTICES)} SELECT id AS notice_id, fld AS field, (sord - 1)::INT AS pos, s AS sentence FROM sents",
+    "marker_segments": f"WITH {_reading(_NOTICES)} SELECT id AS notice_id, fld AS field, (sord - 1)::INT AS pos, (gord - 1)::INT AS seg, g.marker AS marker, g.clause AS clause FROM segs",
+    "clause_cut": f"WITH {_reading(_NOTICES)} SELECT id AS notice_id, fld AS field, (sord - 1)::INT AS pos, trim(string_split_regex(s, {_TAIL})[1], ' ,.-') AS clause FROM sents",
     "cause_read": f"{_READ} SELECT id AS notice_id, ord::INT AS pos, category, family, label, phrase, matched, marker, role, earlier FROM causes",
     "unread_clauses": f"{_READ} SELECT clause, count(*) AS n FROM unread GROUP BY clause",
     "silent_notices": f"{_READ} SELECT notice_id FROM notices WHERE notice_id NOT IN (SELECT id FROM causes UNION SELECT id FROM unread)",
@@ -228,9 +241,9 @@ ORACLE = {
     "paged_cases": f"""{_DISRUPTIONS}, pl AS (SELECT *, row_number() OVER (PARTITION BY ym ORDER BY first_seen DESC, route, first_seq) AS place, count(*) OVER (PARTITION BY ym) AS all_n FROM found)
         SELECT ym, place, ceil(place / 10)::BIGINT AS page, ceil(all_n / 10)::BIGINT AS pages, start, route, epoch_us(first_seen) AS first_seen, first_seq FROM pl""",
     "staleness": f"WITH {_GOOD} SELECT TIMESTAMP '{NOW}' > horizon + INTERVAL 10 HOUR AS stale, strftime(horizon, '%Y-%m-%d %H:%M') AS stamp FROM horizon",
-    "golden_diff": _golden("SELECT head, text, true AS causes_moved, false AS unread_moved FROM cur JOIN stored USING (head, text) WHERE causes <> before"),
+    "golden_diff": _golden("SELECT head, text, cur.told <> cur.renamed AS causes_moved, cur.louder AS unread_moved FROM cur JOIN stored USING (head, text) WHERE cur.told <> cur.renamed OR cur.louder"),
     "golden_new": _golden("SELECT head, text FROM cur ANTI JOIN stored USING (head, text)"),
-    "golden_merge": _golden("SELECT head, text, coalesce(causes, '') AS causes FROM cur"),
+    "golden_merge": _golden("SELECT head, text, renamed AS causes FROM cur UNION ALL SELECT head, text, told FROM stored ANTI JOIN cur USING (head, text)"),
     "p6_found": f"""WITH polls AS (SELECT run_id, body FROM poll_runs WHERE {_STRICT}),
         els AS (SELECT run_id, body, unnest(range(json_array_length(body)::BIGINT))::INT AS item_pos FROM polls),
         items AS (SELECT run_id, item_pos, json_extract(body, '$[' || item_pos || ']') AS e FROM els WHERE json_type(body, '$[' || item_pos || ']') = 'OBJECT'),
