@@ -5,6 +5,7 @@ presence marker per key. Compared with the snapshot before it counts +1, for
 the one after it -1; the grouped sums that are not zero are the changes.
 """
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,12 +29,44 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def value_hash(value) -> tuple[int, int]:
-    """128 bits of a JSON value, as two signed numbers."""
-    h = xxhash.xxh3_128_intdigest(strictjson.canonical(value).encode("utf-8", "surrogatepass"))
+_CANONICAL = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str).encode
+
+
+#: Values, written as texts of up to so many characters, whose hashes a worker remembers: snapshots repeat most of them.
+MEMO_VALUES, MEMO_CHARS = 50_000, 600
+
+
+def _hash(text: str) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
     return _signed(h >> 64), _signed(h & (1 << 64) - 1)
 
 
+class Hashes:
+    """128 bits of JSON values, as two signed numbers.
+
+    A text is hashed as it is behind a quote, with which no other canonical
+    value begins. Other values are remembered by Python's notation of them,
+    which is cheaper than their canonical form and as distinct.
+    """
+
+    def __init__(self):
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def __call__(self, value) -> tuple[int, int]:
+        text = isinstance(value, str)
+        key = '"' + value if text else repr(value)
+        if (found := self.known.get(key)) is None:
+            found = _hash(key if text else _CANONICAL(value))
+            if len(key) <= MEMO_CHARS:
+                if len(self.known) >= MEMO_VALUES:
+                    self.known.clear()
+                self.known[key] = found
+        return found
+
+
+value_hash = Hashes()
+
+
 def cells_of(body: str | None, key: str = "itemRef") -> list | None:
     """The items of a strict JSON array as (key, cells); None if it isn't one.
 
