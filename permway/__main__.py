@@ -4,7 +4,6 @@ import argparse
 import datetime as dt
 import os
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from permway.functions.causes import with_reading
 from permway.operators import fold, golden, ingest, metrics
 from permway.plans import report
+from permway.sources.files import matches
+from permway.sources.shared import release
 
 
 def _notices(runs: DataFrame) -> DataFrame:
@@ -67,12 +68,15 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--golden", default="golden.json")
     parser.add_argument("--start", help="first instant of collection, UTC; by default that of the first poll")
     args = parser.parse_args(argv)
-    if not list(Path(args.data_dir, "raw").glob("messages-*.jsonl")):
+    spark = SparkSession.builder.appName("permway").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if not matches(spark, f"{args.data_dir}/raw/messages-*.jsonl"):
         print(f"no log in {args.data_dir}/raw", file=sys.stderr)
         return 1
-    spark = SparkSession.builder.appName("permway").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     runs = ingest.read_log(spark, args.data_dir)
-    return _site(runs, args) if args.command == "site" else _reports(runs, args)
+    try:
+        return _site(runs, args) if args.command == "site" else _reports(runs, args)
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

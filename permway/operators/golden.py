@@ -1,12 +1,12 @@
 """Pinned readings: built, compared and merged as joins on the wording."""
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permway.functions.causes import with_reading
+from permway.sources.files import matches, write_text
 
 CAUSE = ("category", "family", "phrase", "matched", "marker", "role", "earlier")
 SCHEMA = (
@@ -44,7 +44,7 @@ def merge(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A golden document; a missing file is an empty one."""
-    if not Path(path).exists():
+    if not matches(spark, path):
         return spark.createDataFrame([], SCHEMA)
     return spark.read.schema(f"readings array<struct<{SCHEMA.replace('head string', 'head: string').replace('text string', 'text: string').replace('causes array', 'causes: array').replace('unread array', 'unread: array')}>>").json(
         path, multiLine=True
@@ -54,4 +54,4 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def dump(document: DataFrame, path: str) -> None:
     """Write a golden document, sorted by wording. It is a reviewed file and small by its nature."""
     rows = [r.asDict(recursive=True) for r in document.orderBy("head", "text").toLocalIterator()]
-    Path(path).write_text(json.dumps({"readings": rows}, indent=1, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+    write_text(document.sparkSession, path, json.dumps({"readings": rows}, indent=1, sort_keys=True, ensure_ascii=False) + "\n")
