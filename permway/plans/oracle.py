@@ -199,7 +199,42 @@ def _golden(select: str) -> str:
     cur AS (SELECT * FROM readings SEMI JOIN ({wordings("notice_id % 3 <> 0")}) USING (head, text)) {select}"""
 
 
+_SNAPSHOTS = f"""WITH good5 AS (SELECT * FROM poll_runs WHERE http_status = 200 AND network_error IS NULL AND {_STRICT}), {_instants("t", "good5", "fetched_at_utc", False)},
+        snaps AS (SELECT run_id, feed, body, row_number() OVER (PARTITION BY feed ORDER BY us, run_id) AS n FROM t WHERE us IS NOT NULL),
+        els AS (SELECT run_id, feed, n, unnest(json_extract(body, '$[*]')) AS e, generate_subscripts(json_extract(body, '$[*]'), 1) AS pos FROM snaps),
+        its AS MATERIALIZED (SELECT feed, n, json_extract_string(e, '$.itemRef') AS ref, arg_min(e, pos) AS e FROM els WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.itemRef') NOT IN ('NULL') GROUP BY ALL)"""
+_FAULTS = f"""WITH j0 AS (SELECT line_id, line, CASE WHEN line IS NOT NULL AND json_valid(line) THEN json_type(line) = 'OBJECT' AND NOT regexp_matches(regexp_replace(line, '"(\\\\.|[^"\\\\])*"', 's', 'g'), ',\\s*[\\]}}]|NaN|Infinity|nan|inf')
+            AND json_exists(line, '$.http_status') AND json_exists(line, '$.network_error') AND json_exists(line, '$.fetched_at_utc') AND json_exists(line, '$.body') ELSE false END AS fine FROM raw_lines WHERE file_name LIKE '%.jsonl'),
+        j AS (SELECT line_id, json_type(line, '$.http_status') AS ht, json_extract_string(line, '$.http_status') AS h, json_type(line, '$.network_error') AS nt, json_extract_string(line, '$.network_error') AS n,
+            json_type(line, '$.body') AS bt, json_extract_string(line, '$.body') AS b FROM j0 WHERE fine),
+        c0 AS (SELECT line_id, line, coalesce(regexp_full_match(line, '{_RECORD}'), false) AS fine FROM raw_lines WHERE file_name LIKE '%.csv'),
+        c1 AS (SELECT line_id, regexp_extract(line, '^{_RECORD}$', ['f', 'h', 'n', 'b']) AS x FROM c0 WHERE fine),
+        c AS (SELECT line_id, {_cell("x.h")} AS h, {_cell("x.n")} AS n, {_cell("x.b")} AS b FROM c1),
+        faults AS (SELECT line_id, 'line' AS fault FROM j0 WHERE NOT fine UNION ALL SELECT line_id, 'line' FROM c0 WHERE NOT fine
+        UNION ALL SELECT line_id, CASE WHEN NOT (ht = 'NULL' OR (ht IN ('UBIGINT', 'BIGINT') AND regexp_full_match(h, '[1-5][0-9]{{2}}'))) THEN 'http_status'
+            WHEN NOT (nt = 'NULL' OR (nt = 'BOOLEAN' AND n = 'false') OR (nt = 'VARCHAR' AND regexp_full_match(n, '[A-Za-z_]*'))) THEN 'network_error'
+            WHEN h = '200' AND (nt <> 'VARCHAR' OR n IN ('', 'false')) AND NOT (bt = 'VARCHAR' AND {_strict_array("b")}) THEN 'body' END FROM j
+        UNION ALL SELECT line_id, CASE WHEN h <> '' AND NOT regexp_full_match(h, '[1-5][0-9]{{2}}') THEN 'http_status' WHEN NOT regexp_full_match(n, '[A-Za-z_]*') THEN 'network_error'
+            WHEN h = '200' AND n IN ('', 'false') AND NOT {_strict_array("b")} THEN 'body' END FROM c)"""
+_NESTED = f"""WITH polls AS (SELECT run_id, body FROM poll_runs WHERE {_STRICT}),
+        els AS (SELECT run_id, body, unnest(range(json_array_length(body)::BIGINT))::INT AS item_pos FROM polls),
+        items AS (SELECT run_id, item_pos, json_extract(body, '$[' || item_pos || ']') AS e FROM els WHERE json_type(body, '$[' || item_pos || ']') = 'OBJECT'),
+        codes AS (SELECT run_id, item_pos, {_listed("e", "locationCodes")} AS l FROM items),
+        code AS (SELECT run_id, item_pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM codes),
+        stops AS (SELECT run_id, item_pos, {_listed("e", "eventStops")} AS l FROM items),
+        leg AS (SELECT * FROM (SELECT run_id, item_pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM stops) WHERE json_type(x) = 'OBJECT'),
+        vias AS (SELECT run_id, item_pos, pos, {_listed("x", "via")} AS l FROM leg),
+        via AS (SELECT * FROM (SELECT run_id, item_pos, pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS sub_pos FROM vias) WHERE json_type(x) = 'OBJECT')"""
+_VIA_KEY = "run_id || '/' || item_pos || '/l' || pos || '/v' || sub_pos"
+_OBJECT_PART = "CASE WHEN json_type(x, '$.platform') = 'OBJECT' THEN json_extract_string(x, '$.platform.{}') END"
+
 ORACLE = {
+    "p6_items": f"""{_NESTED} SELECT run_id, item_pos, run_id || '/' || item_pos AS pk, run_id::VARCHAR AS parent_pk, e->>'itemRef' AS item_ref, e->>'head' AS head, e->>'text' AS text, e->>'start' AS start FROM items""",
+    "p6_vias": f"""{_NESTED} SELECT run_id, item_pos, pos::INT AS pos, sub_pos::INT AS sub_pos, {_VIA_KEY} AS pk, run_id || '/' || item_pos || '/l' || pos AS parent_pk, x->>'stop' AS stop,
+        {_OBJECT_PART.format("no")} AS platform_no, {_OBJECT_PART.format("side")} AS platform_side FROM via""",
+    "p6_calls": f"""{_NESTED}, called AS (SELECT run_id, item_pos, pos, sub_pos, {_listed("x", "calls")} AS l FROM via),
+        each AS (SELECT run_id, item_pos, pos, sub_pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS n FROM called)
+        SELECT run_id, item_pos, pos::INT AS pos, sub_pos::INT AS sub_pos, {_VIA_KEY} || '/a' || n AS pk, {_VIA_KEY} AS parent_pk, x->>'due' AS due FROM each WHERE json_type(x) = 'OBJECT'""",
     "log_decode": f"WITH {_LOG} SELECT * FROM poll_log",
     "log_horizon": f"WITH {_LOG}, {_GOOD.replace('FROM poll_runs', 'FROM poll_log')} SELECT epoch_us(horizon) AS horizon, runs FROM horizon",
     "log_items": f"WITH {_LOG}, {_GOOD.replace('FROM poll_runs', 'FROM poll_log')}, {_items('good')} SELECT line_id, item_pos, head, text, start, origin, destination, legs, codes FROM items",
@@ -244,42 +279,30 @@ ORACLE = {
     "golden_diff": _golden("SELECT head, text, cur.told <> cur.renamed AS causes_moved, cur.louder AS unread_moved FROM cur JOIN stored USING (head, text) WHERE cur.told <> cur.renamed OR cur.louder"),
     "golden_new": _golden("SELECT head, text FROM cur ANTI JOIN stored USING (head, text)"),
     "golden_merge": _golden("SELECT head, text, renamed AS causes FROM cur UNION ALL SELECT head, text, told FROM stored ANTI JOIN cur USING (head, text)"),
-    "p6_found": f"""WITH polls AS (SELECT run_id, body FROM poll_runs WHERE {_STRICT}),
-        els AS (SELECT run_id, body, unnest(range(json_array_length(body)::BIGINT))::INT AS item_pos FROM polls),
-        items AS (SELECT run_id, item_pos, json_extract(body, '$[' || item_pos || ']') AS e FROM els WHERE json_type(body, '$[' || item_pos || ']') = 'OBJECT'),
-        codes AS (SELECT run_id, item_pos, {_listed("e", "locationCodes")} AS l FROM items),
-        code AS (SELECT run_id, item_pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM codes),
-        stops AS (SELECT run_id, item_pos, {_listed("e", "eventStops")} AS l FROM items),
-        leg AS (SELECT * FROM (SELECT run_id, item_pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM stops) WHERE json_type(x) = 'OBJECT'),
-        vias AS (SELECT run_id, item_pos, pos, {_listed("x", "via")} AS l FROM leg),
-        via AS (SELECT * FROM (SELECT run_id, item_pos, pos, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS sub_pos FROM vias) WHERE json_type(x) = 'OBJECT')
+    "p6_found": f"""{_NESTED}
         SELECT run_id, item_pos, 'code' AS kind, pos::INT AS pos, -1 AS sub_pos, json_extract_string(x, '$') AS label FROM code WHERE json_type(x) = 'VARCHAR'
         UNION ALL SELECT run_id, item_pos, 'leg', pos::INT, -1, coalesce(json_extract_string(x, '$.sStop'), '') FROM leg
         UNION ALL SELECT run_id, item_pos, 'via', pos::INT, sub_pos::INT, coalesce(json_extract_string(x, '$.stop'), '') FROM via""",
     "p1_found": f"""WITH {_instants("s", "sightings", "start", True)}, {_instants("r", "poll_runs", "fetched_at_utc", False)}
         SELECT 'sightings' AS table_name, sighting_id AS row_id, us AS utc_us FROM s WHERE us IS NOT NULL AND (NOT regexp_full_match(start, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') OR odd)
         UNION ALL SELECT 'poll_runs', run_id, us FROM r WHERE us IS NOT NULL AND NOT regexp_full_match(fetched_at_utc, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')""",
-    "p5_found": f"""WITH good5 AS (SELECT * FROM poll_runs WHERE http_status = 200 AND network_error IS NULL AND {_STRICT}), {_instants("t", "good5", "fetched_at_utc", False)},
-        snaps AS (SELECT run_id, feed, body, row_number() OVER (PARTITION BY feed ORDER BY us, run_id) AS n FROM t WHERE us IS NOT NULL),
-        els AS (SELECT run_id, feed, n, unnest(json_extract(body, '$[*]')) AS e, generate_subscripts(json_extract(body, '$[*]'), 1) AS pos FROM snaps),
-        its AS MATERIALIZED (SELECT feed, n, json_extract_string(e, '$.itemRef') AS ref, arg_min(e, pos) AS e FROM els WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.itemRef') NOT IN ('NULL') GROUP BY ALL),
+    "p5_fields": f"""{_SNAPSHOTS},
+        parts AS MATERIALIZED (SELECT i.feed, i.n, i.ref, f.key AS field, string_agg(j.fullkey || ' ' || j.type || ' ' || coalesce(json_extract_string(j.atom, '$'), ''), chr(1) ORDER BY j.fullkey) AS form
+            FROM its i, json_each(i.e) f, json_tree(f.value) j GROUP BY ALL),
+        both_in AS (SELECT b.feed, b.n, b.ref, s.run_id FROM its a JOIN its b ON a.feed IS NOT DISTINCT FROM b.feed AND a.n + 1 = b.n AND a.ref = b.ref JOIN snaps s ON s.feed IS NOT DISTINCT FROM b.feed AND s.n = b.n),
+        sides AS (SELECT t.run_id, p.ref, p.field, p.form, 1 AS side FROM parts p JOIN both_in t ON p.feed IS NOT DISTINCT FROM t.feed AND p.n = t.n AND p.ref = t.ref
+            UNION ALL SELECT t.run_id, p.ref, p.field, p.form, 2 FROM parts p JOIN both_in t ON p.feed IS NOT DISTINCT FROM t.feed AND p.n + 1 = t.n AND p.ref = t.ref)
+        SELECT run_id, ref AS item_ref, field FROM sides GROUP BY ALL HAVING count(*) = 1 OR min(form) <> max(form)""",
+    "p5_found": f"""{_SNAPSHOTS},
         forms AS MATERIALIZED (SELECT i.feed, i.n, i.ref, string_agg(j.fullkey || ' ' || j.type || ' ' || coalesce(json_extract_string(j.atom, '$'), ''), chr(1) ORDER BY j.fullkey) AS form FROM its i, json_tree(i.e) j GROUP BY ALL),
         later AS (SELECT s.run_id, f.* FROM forms f JOIN snaps s ON s.feed IS NOT DISTINCT FROM f.feed AND s.n = f.n WHERE s.n > 1),
         earlier AS (SELECT s.run_id, f.* FROM forms f JOIN snaps s ON s.feed IS NOT DISTINCT FROM f.feed AND s.n = f.n + 1)
         SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.ref, b.ref) AS item_ref, CASE WHEN b.ref IS NULL THEN 'added' WHEN a.ref IS NULL THEN 'removed' ELSE 'changed' END AS delta
         FROM later a FULL JOIN earlier b ON a.run_id = b.run_id AND a.ref = b.ref WHERE a.form IS DISTINCT FROM b.form""",
-    "p2_found": f"""WITH j0 AS (SELECT line_id, line, CASE WHEN line IS NOT NULL AND json_valid(line) THEN json_type(line) = 'OBJECT' AND NOT regexp_matches(regexp_replace(line, '"(\\\\.|[^"\\\\])*"', 's', 'g'), ',\\s*[\\]}}]|NaN|Infinity|nan|inf')
-            AND json_exists(line, '$.http_status') AND json_exists(line, '$.network_error') AND json_exists(line, '$.fetched_at_utc') AND json_exists(line, '$.body') ELSE false END AS fine FROM raw_lines WHERE file_name LIKE '%.jsonl'),
-        j AS (SELECT line_id, json_type(line, '$.http_status') AS ht, json_extract_string(line, '$.http_status') AS h, json_type(line, '$.network_error') AS nt, json_extract_string(line, '$.network_error') AS n,
-            json_type(line, '$.body') AS bt, json_extract_string(line, '$.body') AS b FROM j0 WHERE fine),
-        c0 AS (SELECT line_id, line, coalesce(regexp_full_match(line, '{_RECORD}'), false) AS fine FROM raw_lines WHERE file_name LIKE '%.csv'),
-        c1 AS (SELECT line_id, regexp_extract(line, '^{_RECORD}$', ['f', 'h', 'n', 'b']) AS x FROM c0 WHERE fine),
-        c AS (SELECT line_id, {_cell("x.h")} AS h, {_cell("x.n")} AS n, {_cell("x.b")} AS b FROM c1),
-        faults AS (SELECT line_id, 'line' AS fault FROM j0 WHERE NOT fine UNION ALL SELECT line_id, 'line' FROM c0 WHERE NOT fine
-        UNION ALL SELECT line_id, CASE WHEN NOT (ht = 'NULL' OR (ht IN ('UBIGINT', 'BIGINT') AND regexp_full_match(h, '[1-5][0-9]{{2}}'))) THEN 'http_status'
-            WHEN NOT (nt = 'NULL' OR (nt = 'BOOLEAN' AND n = 'false') OR (nt = 'VARCHAR' AND regexp_full_match(n, '[A-Za-z_]*'))) THEN 'network_error'
-            WHEN h = '200' AND (nt <> 'VARCHAR' OR n IN ('', 'false')) AND NOT (bt = 'VARCHAR' AND {_strict_array("b")}) THEN 'body' END FROM j
-        UNION ALL SELECT line_id, CASE WHEN h <> '' AND NOT regexp_full_match(h, '[1-5][0-9]{{2}}') THEN 'http_status' WHEN NOT regexp_full_match(n, '[A-Za-z_]*') THEN 'network_error'
-            WHEN h = '200' AND n IN ('', 'false') AND NOT {_strict_array("b")} THEN 'body' END FROM c)
-        SELECT line_id, fault FROM faults WHERE fault IS NOT NULL""",
+    "p2_found": f"{_FAULTS} SELECT line_id, fault FROM faults WHERE fault IS NOT NULL",
+    "p2_loaded": f"""{_FAULTS}, good AS (SELECT line_id FROM faults WHERE fault IS NULL),
+        values_j AS (SELECT line_id, line->>'fetched_at_utc' AS f, line->>'http_status' AS h, CASE WHEN json_type(line, '$.network_error') = 'VARCHAR' THEN line->>'network_error' END AS n,
+            CASE json_type(line, '$.body') WHEN 'VARCHAR' THEN line->>'body' WHEN 'NULL' THEN NULL ELSE '#' || (line->'body') END AS b FROM raw_lines WHERE file_name LIKE '%.jsonl' AND line_id IN (FROM good)),
+        values_c AS (SELECT line_id, {_cell("x.f")} AS f, {_cell("x.h")} AS h, {_cell("x.n")} AS n, {_cell("x.b")} AS b FROM c1 WHERE line_id IN (FROM good))
+        SELECT line_id, nullif(f, '') AS fetched_at_utc, nullif(h, '')::INT AS http_status, nullif(n, '') AS network_error, nullif(b, '') AS body FROM (FROM values_j UNION ALL FROM values_c)""",
 }

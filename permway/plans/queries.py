@@ -266,17 +266,21 @@ def p6_found(spark, d):
 
 
 def p6_items(spark, d):
-    return nested.flatten(_runs(spark, d))["item"].select("run_id", "item_pos", "pk", "parent_pk", "item_ref", "head", "text", "start")
+    return nested.flatten(_runs(spark, d), ("item",))["item"].select("run_id", "item_pos", "pk", "parent_pk", "item_ref", "head", "text", "start")
+
+
+def p6_vias(spark, d):
+    return nested.flatten(_runs(spark, d), ("via",))["via"].select("run_id", "item_pos", "pos", "sub_pos", "pk", "parent_pk", "stop", "platform_no", "platform_side")
 
 
 def p6_calls(spark, d):
-    return nested.flatten(_runs(spark, d))["call"].select("run_id", "item_pos", "pos", "sub_pos", "pk", "parent_pk", "due")
+    return nested.flatten(_runs(spark, d), ("call",))["call"].select("run_id", "item_pos", "pos", "sub_pos", "pk", "parent_pk", "due")
 
 
 _NAMES = [
     log_decode, log_horizon, log_items, runs_horizon, sightings_decode, notices_decode, subject_filter, plain_text, readable_text, sentence_split, marker_segments, clause_cut, cause_read, unread_clauses, silent_notices,
     category_histogram, family_histogram, origin_causes, shown_causes, claimed_minutes, distinct_notices, network_starts, routes_by_start, resolve_route, updates_log, disruptions,
     capacity_split, capacity_by_month, month_list, day_counts, day_band, day_family_counts, month_tiles, routes_named, origin_ranking, paged_cases, staleness, golden_diff, golden_new,
-    golden_merge, p1_found, p2_found, p2_loaded, p5_found, p5_fields, p6_found, p6_items, p6_calls,
+    golden_merge, p1_found, p2_found, p2_loaded, p5_found, p5_fields, p6_found, p6_items, p6_vias, p6_calls,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}

@@ -3,6 +3,8 @@
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,17 +38,29 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application. Frames that read them can't be used afterwards."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made inside are deleted at its end, so a long application doesn't gather them."""
+    before = set(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete the intermediate tables of this application but those of `keep`. Frames that read them can't be used afterwards."""
     sc = spark.sparkContext
-    for path in _made.pop(sc.applicationId, []):
+    made = _made.pop(sc.applicationId, [])
+    _made[sc.applicationId] = [p for p in made if p in keep]
+    for path in (p for p in made if p not in keep):
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _release_at_exit() -> None:
-    spark = SparkSession.getActiveSession() if _made else None
+    spark = SparkSession.getActiveSession() if any(_made.values()) else None
     if spark is not None and spark.sparkContext._jsc is not None:
         try:
             release(spark)

@@ -80,6 +80,20 @@ def test_log_to_site(spark, tmp_path):
     assert "%" not in page.split("<main>")[1].split("<script>")[0].replace('style="width:100%"', "")
 
 
+def test_what_counts_as_a_poll(spark):
+    bodies = ['[{"head":"x"}],"c":[1]', '[1]}{"z":[1]', "[1]] , [[2]", "[1],[2]", "[] x", "{}", "[1,]", "[NaN]", "", None, "[[1]", "['a']", ' [ {"a": [1]}, 5 , null] ', "[]"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    assert [r.x for r in df.select("i", ingest.json_array(F.col("b")).alias("x")).orderBy("i").collect()] == [None] * 12 + [['{"a":[1]}', "5", None], []]
+    errors = [None, False, 0, 0.0, "", [], {}, "false", "0", "[]", "{}", "timeout", 1, True]
+    lines = [json.dumps({"http_status": 200, "network_error": e, "fetched_at_utc": "T", "body": "[]"}) for e in errors]
+    lines += [json.dumps({"http_status": s, "network_error": None, "body": b}) for s, b in (("200", "[]"), (True, "[]"), (200.5, "[]"), (200, []), (None, None))] + ["[1]", "", lines[0] + " x", lines[0][:-1], None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, line string")
+    runs = ingest.decode_lines(df)
+    assert runs.count() == len(errors) + 5
+    assert sorted(r.i for r in ingest.good_runs(runs).collect()) == list(range(7))
+    assert ingest.decode_lines(df.limit(0)).count() == 0
+
+
 def test_golden(spark, tmp_path):
     notices = spark.createDataFrame([("h", "Due to a signalling issue."), ("h", "Due to a kite."), (None, "x")], "head string, text string")
     stored = golden.build(notices.limit(1))
@@ -98,4 +112,8 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(SEEN).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental.start(stream, str(tmp_path / "seen"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     key = lambda df: sorted((r.start or "", r.route, r.n_updates, r.minutes or -1) for r in df.collect())
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(fold.disruptions(full))
+    assert key(incremental.current(spark, str(tmp_path / "out"))) == key(fold.disruptions(full))
+    late = spark.createDataFrame([(99, "Z", "late", "s4", "X", "X", at(-5), 1)], SEEN)
+    incremental.update(str(tmp_path / "seen"), str(tmp_path / "out"))(late, 7)
+    assert {r.start for r in spark.read.parquet(str(tmp_path / "out")).where("batch = 7").collect()} == {"s4"}
+    assert key(incremental.current(spark, str(tmp_path / "out"))) == key(fold.disruptions(full.unionAll(late)))

@@ -68,3 +68,15 @@ def test_nested(spark):
     assert all(r.parent_pk in keys for k, t in tables.items() if k != "item" for r in t)
     assert tables["via"][0].platform_no in ("4", None) and tables["call"][0].due == "04:52"
     assert nested.found(df.limit(0)).count() == 0
+
+
+def test_nothing_vanishes_from_nested_records(spark):
+    via = [{"stop": "v", "platform": 7, "calls": {"due": "1", "y": None}}, {"stop": "w", "platform": {"no": 2, "side": "L"}}, {"platform": {"no": 3, "z": 1}}]
+    body = json.dumps([{"itemRef": "r", "new": {"b": 1, "a": [2]}, "eventStops": [5, {"sStop": "S", "via": via}]}, {"itemRef": "q"}])
+    tables = nested.flatten(spark.createDataFrame([(1, body)], "run_id bigint, body string"))
+    assert {r.item_ref: r.rest for r in tables["item"].collect()} == {"r": '{"new":{"a":[2],"b":1}}', "q": None}
+    assert {(r.pk, r.parent_pk, r.platform_no, r.rest) for r in tables["via"].collect()} == {
+        ("1/0/l1/v0", "1/0/l1", None, '{"platform":7}'), ("1/0/l1/v1", "1/0/l1", "2", None), ("1/0/l1/v2", "1/0/l1", "3", '{"platform":{"no":3,"z":1}}'),
+    }
+    assert [(r.pk, r.due, r.rest) for r in tables["call"].collect()] == [("1/0/l1/v0/a0", "1", '{"y":null}')]
+    assert set(nested.flatten(spark.createDataFrame([(1, body)], "run_id bigint, body string"), ("leg",))) == {"leg"}
