@@ -130,8 +130,14 @@ def updates(seen: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
 
 
 def wordings(rows: DataFrame) -> DataFrame:
-    """Each wording of prepared rows once, with its figure of minutes, whether it is about capacity, and its causes."""
+    """Each wording of prepared rows once, with its figure of minutes, whether it is about capacity, and its causes.
+
+    A reading takes much time for few bytes, so the wordings are dealt out over
+    all shuffle partitions, by their id as the join after it needs them, before
+    they are read.
+    """
     once = rows.groupBy(*WORDING, "head", "text").agg(F.count("*").alias("__n")).drop("__n")
+    once = once.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *WORDING)
     capacity = F.concat_ws(" ", "head", "text").rlike(L.java(L.CAPACITY))
     return with_reading(once.withColumns({"minutes": claimed_minutes(F.col("head"), F.col("text")), "capacity": capacity})).drop("unread")
 

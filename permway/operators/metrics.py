@@ -55,6 +55,18 @@ def paged(found: DataFrame, size: int = 10, zone: str = ZONE) -> DataFrame:
     return joined.withColumn("place", place).select("ym", "place", F.ceil(F.col("place") / size).alias("page"), F.ceil(F.col("listed") / size).alias("pages"), "listed", "start", "route", "first_seen", "first_seq")
 
 
+def in_order(found: DataFrame, zone: str = ZONE) -> DataFrame:
+    """`place, start, route, first_seen, first_seq`: disruptions numbered by first time, then route, then order of arrival.
+
+    As in `paged`, places come from counts per day and windows over a day.
+    """
+    rows = staged(found.select("start", "route", "first_seen", "first_seq", local_day(F.col("first_seen"), zone).alias("day")), "in_order")
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    per_day = rows.groupBy("day").agg(F.count("*").alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("day").orderBy("first_seen", "route", "first_seq")
+    return rows.join(per_day, "day").select((F.col("earlier") + F.row_number().over(within)).alias("place"), "start", "route", "first_seen", "first_seq")
+
+
 def capacity_by_month(found: DataFrame, zone: str = ZONE) -> DataFrame:
     return with_month(found.where("is_capacity"), zone).groupBy("ym").agg(F.count("*").alias("n"))
 

@@ -257,6 +257,7 @@ ORACLE = {
         FROM notices LEFT JOIN causes ON notice_id = id GROUP BY notice_id""",
     "claimed_minutes": f"SELECT notice_id, coalesce({_minutes('head')}, {_minutes('text')}) AS minutes FROM notices",
     "distinct_notices": "SELECT head, text, f.s AS start, f.a AS first_seen, n AS sightings FROM (SELECT head, text, arg_min({'s': start, 'a': epoch_us(seen_at)}, sighting_id) AS f, count(*) AS n FROM sightings GROUP BY head, text)",
+    "poll_notices": f"WITH {_GOOD}, {_items('good')} SELECT head, text, f.s AS start, f.c AS codes, f.t AS first_seen, n AS sightings FROM (SELECT head, text, arg_min({{'s': start, 'c': codes, 't': fetched_at_utc}}, (run_id, item_pos)) AS f, count(*) AS n FROM items GROUP BY head, text)",
     "network_starts": f"SELECT start FROM sightings WHERE {_SUBJECT} GROUP BY start HAVING max(coalesce(legs, 0)) > 1",
     "routes_by_start": f"SELECT start, nullif(origin, '') AS origin, nullif(destination, '') AS destination, count(*) AS n FROM sightings WHERE {_SUBJECT} AND (nullif(origin, '') IS NOT NULL OR nullif(destination, '') IS NOT NULL) GROUP BY ALL",
     "resolve_route": f"WITH {_FOLD} SELECT sighting_id, route_from, route_to, branch FROM resolved",
@@ -275,6 +276,7 @@ ORACLE = {
         SELECT ym, category, label, n, greatest(2, round_even(100 * n / max(n) OVER (PARTITION BY ym), 0))::INT AS width, row_number() OVER (PARTITION BY ym ORDER BY n DESC, first)::INT AS place FROM oc""",
     "paged_cases": f"""{_DISRUPTIONS}, pl AS (SELECT *, row_number() OVER (PARTITION BY ym ORDER BY first_seen DESC, route, first_seq) AS place, count(*) OVER (PARTITION BY ym) AS all_n FROM found)
         SELECT ym, place, ceil(place / 10)::BIGINT AS page, ceil(all_n / 10)::BIGINT AS pages, start, route, epoch_us(first_seen) AS first_seen, first_seq FROM pl""",
+    "disruption_order": f"{_DISRUPTIONS} SELECT row_number() OVER (ORDER BY first_seen, route, first_seq) AS place, start, route, epoch_us(first_seen) AS first_seen, first_seq FROM found",
     "staleness": f"WITH {_GOOD} SELECT TIMESTAMP '{NOW}' > horizon + INTERVAL 10 HOUR AS stale, strftime(horizon, '%Y-%m-%d %H:%M') AS stamp FROM horizon",
     "golden_diff": _golden("SELECT head, text, cur.told <> cur.renamed AS causes_moved, cur.louder AS unread_moved FROM cur JOIN stored USING (head, text) WHERE cur.told <> cur.renamed OR cur.louder"),
     "golden_new": _golden("SELECT head, text FROM cur ANTI JOIN stored USING (head, text)"),

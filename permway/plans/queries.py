@@ -146,6 +146,13 @@ def distinct_notices(spark, d):
     return ingest.distinct_notices(seen, "sighting_id")
 
 
+def poll_notices(spark, d):
+    """The same over the polls, with the location codes and the time text of each wording's first item."""
+    seen = ingest.items(ingest.good_runs(_runs(spark, d)), ["run_id", "fetched_at_utc"]).withColumnRenamed("fetched_at_utc", "first_seen")
+    rows = ingest.distinct_notices(seen.withColumn("seq", F.struct("run_id", "item_pos")), "seq")
+    return rows.select("head", "text", "start", F.concat_ws("|", "codes").alias("codes"), "first_seen", "sightings")
+
+
 def network_starts(spark, d):
     return fold.start_facts(_sightings(spark, d)).where("network").select("start")
 
@@ -211,6 +218,10 @@ def paged_cases(spark, d):
     return metrics.paged(_found(spark, d)).select("ym", "place", "page", "pages", "start", "route", _us("first_seen"), "first_seq")
 
 
+def disruption_order(spark, d):
+    return metrics.in_order(_found(spark, d)).select("place", "start", "route", _us("first_seen"), "first_seq")
+
+
 def staleness(spark, d):
     at = F.lit(NOW).cast("timestamp")
     return ingest.horizon(_runs(spark, d)).select((at > F.col("horizon") + F.expr("INTERVAL 10 HOURS")).alias("stale"), F.date_format("horizon", "yyyy-MM-dd HH:mm").alias("stamp"))
@@ -279,8 +290,8 @@ def p6_calls(spark, d):
 
 _NAMES = [
     log_decode, log_horizon, log_items, runs_horizon, sightings_decode, notices_decode, subject_filter, plain_text, readable_text, sentence_split, marker_segments, clause_cut, cause_read, unread_clauses, silent_notices,
-    category_histogram, family_histogram, origin_causes, shown_causes, claimed_minutes, distinct_notices, network_starts, routes_by_start, resolve_route, updates_log, disruptions,
-    capacity_split, capacity_by_month, month_list, day_counts, day_band, day_family_counts, month_tiles, routes_named, origin_ranking, paged_cases, staleness, golden_diff, golden_new,
+    category_histogram, family_histogram, origin_causes, shown_causes, claimed_minutes, distinct_notices, poll_notices, network_starts, routes_by_start, resolve_route, updates_log, disruptions,
+    capacity_split, capacity_by_month, month_list, day_counts, day_band, day_family_counts, month_tiles, routes_named, origin_ranking, paged_cases, disruption_order, staleness, golden_diff, golden_new,
     golden_merge, p1_found, p2_found, p2_loaded, p5_found, p5_fields, p6_found, p6_items, p6_vias, p6_calls,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
