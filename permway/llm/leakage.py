@@ -22,7 +22,7 @@ from permway.llm.lookalike import _INVISIBLE_CLASS, transduce
 from permway.sources.shared import staged
 
 MIN_WORDS = 12
-#: Characters of items in one automaton, which takes about 20 bytes for each, on the driver and in each Python worker.
+#: Characters of items in one automaton; building one took 26 bytes for each.
 BLOCK_CHARS = 8_000_000
 _ASCII = re.compile(r"[A-Za-z0-9]+")
 _WORD = regex.compile(rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}{_INVISIBLE_CLASS}]*")
